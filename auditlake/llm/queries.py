@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact import OP5_SQL, op5_exact_dedup
 from .sharding import op1_hilbert_shards
+from .simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
