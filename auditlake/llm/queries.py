@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op3_decontamination
 from .exact import OP5_SQL, op5_exact_dedup
+from .packing import op4_packing
 from .sharding import op1_hilbert_shards
 from .simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
 }
