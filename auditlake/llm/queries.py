@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op3_decontamination
 from .exact import OP5_SQL, op5_exact_dedup
+from .language import op6_language
 from .packing import op4_packing
 from .sharding import op1_hilbert_shards
 from .simhash import op8_simhash
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language": op6_language,
     "op8_simhash": op8_simhash,
 }
 
