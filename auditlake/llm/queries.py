@@ -10,6 +10,7 @@ from .decontam import op3_decontamination
 from .exact import OP5_SQL, op5_exact_dedup
 from .language import op6_language
 from .packing import op4_packing
+from .repeats import op9_repeats
 from .sharding import op1_hilbert_shards
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
     "op8_simhash": op8_simhash,
+    "op9_repeats": op9_repeats,
 }
 
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
