@@ -34,8 +34,10 @@ WIDTH, GRAM = 50, 20
 BATCH_BYTES, BATCH_ROWS = 6 << 20, 50_000
 #: Bytes around an anchor that any string with this anchor lies in, and the anchor's place there.
 AROUND, PLACE = 2 * WIDTH - GRAM, WIDTH - GRAM
-#: Buckets of anchor hashes.
-BUCKETS = 1 << 10
+#: Buckets of anchor hashes (messages), and surroundings that one suffix array holds.
+BUCKETS, ARRAY_ROWS = 1 << 7, 12_000
+#: Letters of nine bits that one number holds, and ranks that one number holds.
+PACK, RANKS = 7, 3
 _PAD = 0xFF  # never part of UTF-8
 _LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -109,9 +111,28 @@ def surroundings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> t
     return rows, low.astype(np.uint8), high.astype(np.uint8), doc
 
 
-def _void(rows: np.ndarray) -> np.ndarray:
-    rows = np.ascontiguousarray(rows)
-    return rows.view(np.dtype((np.void, rows.shape[1]))).ravel()
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each group, group of each row) of equal rows of bytes; sorted by a hash, compared in full."""
+    n, width = rows.shape
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(np.uint64)
+    with np.errstate(over="ignore"):
+        key = np.zeros(n, np.uint64)
+        for i in range(words.shape[1]):
+            key = _mix(key * _BASE + words[:, i])
+    order = np.argsort(key, kind="stable")
+    tie = key[order][1:] == key[order][:-1]
+    same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    if (tie & ~same).any():  # two strings of one hash: order them in full
+        order = np.lexsort(words.T)
+        same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    begin = np.r_[True, ~same]
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(begin) - 1
+    return order[begin], group
 
 
 class SuffixArray:
@@ -120,23 +141,33 @@ class SuffixArray:
     def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray):
         n, width = rows.shape
         self.step = width + 1
-        flat = np.empty((n, width + 1), np.int64)
-        flat[:, :width] = rows
         column = np.arange(width + 1)
         outside = (column < low[:, None]) | (column >= high[:, None])
-        flat[outside] = 256 + np.arange(outside.sum())  # each differs from all else
-        rank = np.unique(flat.ravel(), return_inverse=True)[1]
-        self.ranks, length = [rank], 1
+        flat = np.zeros((n, width + 1), np.int64)
+        flat[:, :width] = rows
+        flat = np.where(outside, 256, flat).ravel()
+        size = len(flat)
+        # ranks of strings of PACK letters, then of RANKS times as many until they outgrow a row; what
+        # lies outside a row sorts last, and common prefixes are cut at the end of the row
+        packed = np.zeros(size, np.int64)
+        for i in range(PACK):
+            packed = packed << 9 | np.r_[flat[i:], np.full(min(i, size), 256)][:size]
+        rank = np.unique(packed, return_inverse=True)[1]
+        self.ranks, length = [(1, flat), (PACK, rank)], PACK
+        self.ranks_in_one = RANKS if (size + 2) ** RANKS < 1 << 63 else RANKS - 1
         while length < width:
-            after = np.r_[rank[length:] + 1, np.zeros(min(length, len(rank)), np.int64)][: len(rank)]
-            rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
-            self.ranks.append(rank)
-            length *= 2
+            base, packed = np.int64(size + 1), rank.astype(np.int64)
+            for i in range(1, self.ranks_in_one):
+                packed = packed * base + np.r_[rank[i * length :] + 1, np.zeros(min(i * length, size), np.int64)][:size]
+            rank = np.unique(packed, return_inverse=True)[1]
+            length *= self.ranks_in_one
+            self.ranks.append((length, rank))
         begin = (low[:, None].astype(np.int64) <= column) & (column + WIDTH <= high[:, None])
         usable = np.flatnonzero(begin.ravel())
         self.suffix = usable[np.argsort(rank[usable], kind="stable")]
-        self.common = self._common()
-        before = np.r_[np.int64(-1), flat.ravel()[:-1]][self.suffix]
+        left = high.astype(np.int64)[self.suffix // self.step] - self.suffix % self.step
+        self.common = np.minimum(self._common(), np.minimum(left, np.r_[0, left[:-1]]))
+        before = np.r_[np.int64(-1), flat[:-1]][self.suffix]
         at_edge = (self.suffix % self.step) == low[self.suffix // self.step]
         self.before = np.where(at_edge, -1 - np.arange(len(before)), before)
 
@@ -144,13 +175,15 @@ class SuffixArray:
         """Longest common prefix of each suffix with the one before it."""
         a, b = self.suffix[:-1].copy(), self.suffix[1:].copy()
         out = np.zeros(len(a), np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            rank, length = self.ranks[level], 1 << level
-            same = (a < len(rank)) & (b < len(rank))
-            same[same] = rank[a[same]] == rank[b[same]]
-            out[same] += length
-            a[same] += length
-            b[same] += length
+        for length, rank in reversed(self.ranks):
+            going = np.arange(len(a))
+            for _ in range(self.ranks_in_one if length > 1 else PACK):
+                inside = going[(a[going] < len(rank)) & (b[going] < len(rank))]
+                x, y = rank[a[inside]], rank[b[inside]]
+                going = inside[x == y]
+                out[going] += length
+                a[going] += length
+                b[going] += length
         return np.r_[np.int64(0), out]
 
     def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
@@ -201,7 +234,8 @@ def _covered(rows: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndar
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=9)
     ids, texts, size, number = [], [], 0, 0
-    part = TaskContext.get().partitionId()
+    task = TaskContext.get()
+    part = task.partitionId() if task else 0
 
     def row() -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -232,11 +266,43 @@ def _split(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(54)).astype(np.int64) % BUCKETS
+    return (hashes >> np.uint64(57)).astype(np.int64)
+
+
+def _message(uid: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([uid] * len(parts), pa.int64()), pa.array([d for _, d in parts], pa.binary())], names=["bucket", "uid", "data"])
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """Six bytes of each hash; the low byte is left out, the top seven bits are the bucket's."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes()
+
+
+def _six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
 
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of numbers or rows of bytes as one compressed message; numbers go byte plane by byte plane."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T if c.ndim == 1 and c.itemsize > 1 else c).tobytes() for c in columns]
+    return np.int64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=6).compress(b"".join(planes))
 
-def _message(name: str, keys: list[int], uids: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(uids, pa.int64()), pa.array(data, pa.binary())], names=[name, "uid", "data"])
+
+def _unsqueeze(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """kinds: number type and 0, or uint8 and the bytes of a row."""
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 0, []
+    raw = zstandard.ZstdDecompressor().decompress(data[8:]) if n else b""
+    for kind, width in kinds:
+        if width:
+            out.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width))
+            at += n * width
+        else:
+            size = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+            at += n * size
+    return out
 
 
 def _ask_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,16 +311,9 @@ def _ask_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             _, hashes = anchors(*_open(row["text"], row["lengths"]))
             value, count = np.unique(hashes, return_counts=True)
-            value = np.r_[value, value[count > 1]]
+            value = np.sort(np.r_[value, value[count > 1]])
             parts = [(b, value[at]) for b, at in _split(_bucket(value))]
-            # the bucket's bits and the low byte are left out: equal strings still agree
-            yield _message("bucket", [b for b, _ in parts], [row["uid"]] * len(parts), [np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes() for _, v in parts])
-
-
-def _six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+            yield _message(row["uid"], [(b, _short(v)) for b, v in parts])
 
 
 def _answer_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +323,17 @@ def _answer_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row in batch.to_pylist():
             held.setdefault(row["bucket"], []).append((row["uid"], _six(row["data"])))
     for bucket, asked in held.items():
-        value, count = np.unique(np.concatenate([h for _, h in asked]), return_counts=True)
-        often = value[count > 1]
+        value = np.concatenate([h for _, h in asked])
+        order = np.argsort(value, kind="stable")
+        same = value[order[1:]] == value[order[:-1]]
+        often = np.zeros(len(value), bool)
+        often[order] = np.r_[False, same] | np.r_[same, False]
+        at = 0
         for uid, hashes in asked:
-            own = np.unique(hashes[np.isin(hashes, often)])
+            own = np.unique(hashes[often[at : at + len(hashes)]])
+            at += len(hashes)
             if len(own):
-                yield _message("bucket", [bucket], [uid], [own.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+                yield _message(uid, [(bucket, np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())])
 
 
 def _joined(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
@@ -293,7 +357,7 @@ def _ask_contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, lengths = _open(head["text"], head["lengths"])
         places, hashes = anchors(data, lengths)
         bucket = _bucket(hashes)
-        short = _six(np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes())
+        short = _six(_short(hashes))
         keep = np.zeros(len(hashes), bool)
         order = {b: at for b, at in _split(bucket)}
         for a in answers:
@@ -305,47 +369,53 @@ def _ask_contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, low, high, doc = surroundings(data, lengths, places[ordinal])
         owner = np.frombuffer(head["ids"], np.int64)[doc]
         key = np.c_[context, low, high]
-        _, first, group = np.unique(_void(key), return_index=True, return_inverse=True)
+        first, group = _groups(key)
+        first = np.minimum.reduceat(np.argsort(group, kind="stable"), np.r_[0, np.cumsum(np.bincount(group))[:-1]])
         least = np.full(len(first), _LAST)
         np.minimum.at(least, group, owner)
         where = bucket[ordinal[first]]
-        parts = [(b, at) for b, at in _split(where)]
-        data_of = [np.int64(len(at)).tobytes() + ordinal[first[at]].tobytes() + least[at].tobytes() + key[first[at]].tobytes() for _, at in parts]
-        yield _message("bucket", [b for b, _ in parts], [head["uid"]] * len(parts), data_of)
+        parts = []
+        for b, at in _split(where):
+            at = at[np.argsort(first[at])]
+            parts.append((b, _squeeze(ordinal[first[at]].astype(np.uint32), least[at], key[first[at]])))
+        yield _message(head["uid"], parts)
 
 
 def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per surroundings: the least document that has them, and what of that one others repeat."""
-    held: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    held: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            data = row["data"]
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            held.setdefault(row["bucket"], []).append((row["uid"], np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n), np.frombuffer(data, np.uint8, n * (AROUND + 2), 8 + 16 * n).reshape(n, AROUND + 2)))
-    for bucket, asked in held.items():
+            held.setdefault(row["bucket"], []).append((row["uid"], row["data"]))
+    for bucket in list(held):
+        asked = [(uid, *_unsqueeze(data, (np.uint32, 0), (np.int64, 0), (np.uint8, AROUND + 2))) for uid, data in held.pop(bucket)]
         keys = np.concatenate([a[3] for a in asked])
-        _, first, group = np.unique(_void(keys), return_index=True, return_inverse=True)
+        first, group = _groups(keys)
         least = np.full(len(first), _LAST)
         np.minimum.at(least, group, np.concatenate([a[2] for a in asked]))
         distinct = keys[first]
-        _, gram, times = np.unique(_void(distinct[:, PLACE : PLACE + GRAM]), return_inverse=True, return_counts=True)
+        del keys
+        gram = _groups(distinct[:, PLACE : PLACE + GRAM])[1]
+        times = np.bincount(gram, minlength=1)
         several = np.flatnonzero(times[gram] > 1)
-        row, start, end = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(several):
-            part = distinct[several]
-            row, start, end = _covered(part[:, :AROUND], part[:, AROUND].astype(np.int64), part[:, AROUND + 1].astype(np.int64), least[several])
-            row = several[row]
+        several = several[np.argsort(gram[several], kind="stable")]
         # one stretch per row: strings with this anchor overlap in it, so their union has no gap
         begin = np.full(len(first), AROUND)
         stop = np.zeros(len(first), np.int64)
-        through = (start <= PLACE) & (end >= PLACE + GRAM)
-        np.minimum.at(begin, row[through], start[through])
-        np.maximum.at(stop, row[through], end[through])
+        cuts = np.flatnonzero(np.r_[True, np.diff(gram[several]) != 0]) if len(several) else np.empty(0, int)
+        while len(several):
+            ends = cuts[cuts >= ARRAY_ROWS]
+            part, several = np.split(several, ends[:1]) if len(ends) else (several, several[:0])
+            cuts = cuts[cuts >= len(part)] - len(part)
+            row, start, end = _covered(distinct[part, :AROUND], distinct[part, AROUND].astype(np.int64), distinct[part, AROUND + 1].astype(np.int64), least[part])
+            through = (start <= PLACE) & (end >= PLACE + GRAM)
+            np.minimum.at(begin, part[row[through]], start[through])
+            np.maximum.at(stop, part[row[through]], end[through])
         at = 0
         for uid, ordinal, _, own in asked:
             g = group[at : at + len(own)]
             at += len(own)
-            yield _message("bucket", [bucket], [uid], [np.int64(len(g)).tobytes() + ordinal.tobytes() + least[g].tobytes() + begin[g].astype(np.uint8).tobytes() + stop[g].astype(np.uint8).tobytes()])
+            yield _message(uid, [(bucket, _squeeze(ordinal, least[g], begin[g].astype(np.uint8), stop[g].astype(np.uint8)))])
 
 
 def _apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,18 +425,13 @@ def _apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.frombuffer(head["ids"], np.int64)
         edge = np.zeros(len(data) + 1, np.int64)
         if answers:
-            ordinal, least, begin, stop = [], [], [], []
-            for a in answers:
-                n = int(np.frombuffer(a["data"], np.int64, 1)[0])
-                ordinal.append(np.frombuffer(a["data"], np.int64, n, 8))
-                least.append(np.frombuffer(a["data"], np.int64, n, 8 + 8 * n))
-                begin.append(np.frombuffer(a["data"], np.uint8, n, 8 + 16 * n))
-                stop.append(np.frombuffer(a["data"], np.uint8, n, 8 + 17 * n))
-            ordinal, least, begin, stop = (np.concatenate(x) for x in (ordinal, least, begin.copy(), stop.copy()))
+            said = [_unsqueeze(a["data"], (np.uint32, 0), (np.int64, 0), (np.uint8, 0), (np.uint8, 0)) for a in answers]
+            ordinal, least, begin, stop = (np.concatenate(x) for x in zip(*said, strict=True))
+            ordinal = ordinal.astype(np.int64)
             places, hashes = anchors(data, lengths)
             chosen = np.flatnonzero(np.isin(hashes, hashes[ordinal]))
             context, low, high, doc = surroundings(data, lengths, places[chosen])
-            _, group = np.unique(_void(np.c_[context, low, high]), return_inverse=True)
+            group = _groups(np.c_[context, low, high])[1]
             known = np.full(group.max() + 1, -1)
             known[group[np.searchsorted(chosen, ordinal)]] = np.arange(len(ordinal))
             answer = known[group]
