@@ -2,6 +2,489 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import rules as R
+from .functions import text as T
+from .operators import classify, configuration, dependencies, discovery, matching, pycalls, review, trust
+from .plans import audit as plans
+from .schema import FINDING_ORDER
+from .sources import seeded
+from .sources.seeded import SQL as SEED
+from .sources.seeded import corpus, literal, rules_sql, tree
+
 FLAGSHIP = "shell_findings_hist"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _words(values: list[str]) -> str:
+    return "[" + ", ".join(literal(v) for v in values) + "]"
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(literal(v) for v in values) + ")"
+
+
+# --- rules against lines -----------------------------------------------------------------------
+
+COMMENT = r"regexp_matches(text, '^\s*#([^!]|$)')"
+SHELL_HITS = f"""WITH {SEED}, {rules_sql('rules', R.SHELL_RULES)},
+hits AS (SELECT repo, path, l, line, text, rule, severity, name FROM lines, rules WHERE NOT {COMMENT} AND NOT (name = 'env_access' AND regexp_matches(text, '^\\s*#!')) AND regexp_matches(text, pattern))"""
+COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in FINDING_ORDER)
+RISK = "CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' WHEN low > 0 THEN 'LOW' ELSE 'SAFE' END"
+#: Same test as operators.matching.in_echo.
+ECHO = r"""(regexp_matches(trim(text), '^echo\s') AND ((trim(trim(text)[5:]) LIKE '"%' AND trim(trim(text)[5:]) LIKE '%"') OR (trim(trim(text)[5:]) LIKE '''%' AND trim(trim(text)[5:]) LIKE '%''')) AND NOT contains(text, '$(') AND NOT contains(text, '`'))"""
+
+
+@query(f"{SHELL_HITS}, merged AS (SELECT DISTINCT repo, path, name, severity FROM hits), h AS (SELECT repo, {COUNTS}, count(*) FILTER (severity NOT IN ('SAFE', 'INFO')) AS total FROM merged GROUP BY repo) SELECT *, {RISK} AS risk FROM h")
+def shell_findings_hist(spark, sf_dir):
+    """By source: merged shell findings of each severity, and the risk they make."""
+    counts = review.histogram(matching.shell_findings(corpus(spark, sf_dir)))
+    return counts.withColumn("risk", review.base_risk(F.lit(1)))
+
+
+@query(f"""{SHELL_HITS} SELECT repo, path, 'Shell: ' || name AS title, min(line)::INTEGER AS line, any_value(severity) AS severity,
+'shell rule ' || name || CASE WHEN arg_min(name IN ('curl_pipe_shell', 'wget_pipe_shell') AND {ECHO}, line) THEN {literal(matching.ECHO_NOTE)} ELSE '' END ||
+CASE WHEN count(*) > 1 THEN ' [×' || count(*) || ' occurrences at lines: ' || string_agg(line::VARCHAR, ', ' ORDER BY line) || ']' ELSE '' END AS description,
+'SH-' || any_value(severity)[1:4] || '-' || lpad(min(line)::VARCHAR, 4, '0') AS rule_id FROM hits GROUP BY repo, path, name""")
+def shell_dedupe(spark, sf_dir):
+    return matching.shell_findings(corpus(spark, sf_dir)).select("repo", "path", "title", "line", "severity", "description", "rule_id")
+
+
+@query(f"""{SHELL_HITS} SELECT repo, path, name, line::INTEGER AS line, array_to_string(list_transform(range(greatest(line - 5, 1), least(line + 5, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END) + 1),
+lambda i: CASE WHEN i = line THEN '>>> ' ELSE '    ' END || lpad(i::VARCHAR, 4, ' ') || ' | ' || rtrim(l[i])), chr(10)) AS code_context FROM hits""")
+def finding_context(spark, sf_dir):
+    hits = matching.shell_hits(corpus(spark, sf_dir))
+    return hits.select("repo", "path", "name", "line", T.context(F.col("lines"), F.col("line")).alias("code_context"))
+
+
+@query(f"{SHELL_HITS} SELECT repo, count(*) AS hits, count(*) FILTER ({ECHO}) AS echoed FROM hits WHERE name IN ('curl_pipe_shell', 'wget_pipe_shell') GROUP BY repo")
+def echo_context_note(spark, sf_dir):
+    hits = matching.shell_hits(corpus(spark, sf_dir)).where(F.col("name").isin("curl_pipe_shell", "wget_pipe_shell"))
+    return hits.groupBy("repo").agg(F.count(F.lit(1)).alias("hits"), F.count_if(matching.in_echo(F.col("text"))).alias("echoed"))
+
+
+@query(f"WITH {SEED}, {rules_sql('rules', R.JS_RULES)} SELECT 'js_' || replace(replace(name, ' ', '_'), '()', '') AS category, severity, count(*) AS findings, min(line)::INTEGER AS first_line FROM lines, rules WHERE regexp_matches(text, pattern) GROUP BY ALL")
+def js_findings(spark, sf_dir):
+    found = matching.js_findings(corpus(spark, sf_dir))
+    return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("findings"), F.min("line").alias("first_line"))
+
+
+@query(f"""WITH {SEED}, {rules_sql('rules', R.PROMPT_RULES)}, hits AS (SELECT repo, path, name, severity, string_split_regex(content, '(?ms)' || pattern)[1] AS before FROM corpus, rules WHERE regexp_matches(content, '(?ms)' || pattern))
+SELECT repo, path, 'Skill Prompt: ' || name AS title, severity, (length(before) - length(replace(before, chr(10), '')) + 1)::INTEGER AS line FROM hits""")
+def prompt_first_match(spark, sf_dir):
+    return matching.prompt_findings(corpus(spark, sf_dir)).select("repo", "path", "title", "severity", "line")
+
+
+@query(f"""WITH {SEED}, {rules_sql('rules', R.NETWORK_LINES)}, {rules_sql('js', R.JS_RULES)}, known AS (SELECT DISTINCT path, line FROM lines, js WHERE regexp_matches(text, pattern)),
+hits AS (SELECT repo, path, line, arg_min(name, rule) AS name, arg_min(severity, rule) AS severity FROM lines, rules WHERE regexp_matches(text, pattern) GROUP BY repo, path, line)
+SELECT repo, path, line::INTEGER AS line, 'Network call: ' || name AS title, severity FROM hits WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = hits.path AND k.line = hits.line)""")
+def network_line_antijoin(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    return matching.network_line_findings(files, matching.js_findings(files)).select("repo", "path", "line", "title", "severity")
+
+
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(content, {literal(pattern)}))"
+
+
+@query(f"""WITH {SEED} SELECT path, CASE WHEN {_n(r'eval\s*\(')} > 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {_n(r'\\x[0-9a-fA-F]{2}')} > 10 THEN 0.4::DOUBLE ELSE 0 END AS script,
+CASE WHEN {_n(r'base64\s+(-d|--decode)')} >= 2 OR {_n(r'\\x[0-9a-fA-F]{2}')} >= 5 OR {_n(r'\beval\b')} >= 3 THEN 0.6::DOUBLE ELSE 0 END AS shell,
+round(0.3::DOUBLE * ({' + '.join(f'CASE WHEN {_n(p)} >= {least} THEN 1 ELSE 0 END' for least, _, p in R.OBFUSCATION_RULES)}), 6) AS python FROM corpus""")
+def obfuscation_scores(spark, sf_dir):
+    content = F.col("content")
+    return corpus(spark, sf_dir).select("path", matching.script_obfuscation(content).alias("script"), matching.shell_obfuscation(content).alias("shell"), F.round(matching.pattern_obfuscation(content), 6).alias("python"))
+
+
+@query(f"WITH {SEED}, {rules_sql('rules', [('INFO', k, p) for k, p in R.SAFEGUARDS])} SELECT repo, path, name AS kind, min(line)::INTEGER AS line FROM lines, rules WHERE regexp_matches(text, pattern) GROUP BY repo, path, rule, name")
+def safeguards(spark, sf_dir):
+    return pycalls.safeguards(corpus(spark, sf_dir))
+
+
+@query(rf"""WITH {SEED}, {rules_sql('rules', matching.LEGACY_JS)}, t AS (SELECT path, string_agg(DISTINCT name, ', ' ORDER BY name) AS types, count(*) AS hits FROM lines, rules WHERE regexp_matches(text, pattern) GROUP BY path)
+SELECT c.path, coalesce(t.types, '') AS types, coalesce(t.hits, 0) AS hits, {_n(r'base64\.b64decode')} > 2 OR {_n(r'getattr\(')} > 2 OR {_n(r'\\x[0-9a-fA-F]{2}\\x')} > 2 AS obfuscated FROM corpus c LEFT JOIN t USING (path)""")
+def legacy_scan(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    types = matching.legacy_js_types(files).drop("repo")
+    return files.select("path", matching.legacy_obfuscated(F.col("content")).alias("obfuscated")).join(types, "path", "left").select("path", F.coalesce("types", F.lit("")).alias("types"), F.coalesce("hits", F.lit(0)).alias("hits"), "obfuscated")
+
+
+# --- dependencies, configuration, Python --------------------------------------------------------
+
+_BAD = ", ".join(f"({literal(b)})" for b in R.MALICIOUS_PYTHON)
+
+
+@query(rf"""WITH {SEED}, names AS (SELECT repo, path, lower(trim(regexp_extract(trim(x), '^[^>=<!\[]*'))) AS package FROM (SELECT repo, path, unnest(string_split(content, chr(10))) AS x FROM tree WHERE tail = 'requirements.txt') WHERE trim(x) <> '' AND trim(x) NOT LIKE '#%'),
+b(bad) AS (VALUES {_BAD})
+SELECT path, CASE WHEN package = lower(bad) THEN 'known_malicious' ELSE 'typo_squatting_suspect' END AS type, package, CASE WHEN package = lower(bad) THEN NULL ELSE bad END AS similar_to, CASE WHEN package = lower(bad) THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM names, b WHERE levenshtein(package, lower(bad)) <= 1""")
+def requirement_issues(spark, sf_dir):
+    return dependencies.dependency_issues(tree(spark, sf_dir).where("filename = 'requirements.txt'")).select("path", "type", "package", "similar_to", "severity")
+
+
+@query(f"""WITH {SEED}, p AS (SELECT path, content::JSON AS j FROM tree WHERE tail = 'package.json'), deps AS (SELECT DISTINCT path, unnest(list_concat(coalesce(json_keys(j->'dependencies'), []), coalesce(json_keys(j->'devDependencies'), []), coalesce(json_keys(j->'peerDependencies'), []))) AS d FROM p),
+s AS (SELECT path, unnest(json_keys(j->'scripts')) AS k, j FROM p)
+SELECT path, 'known_malicious' AS type, d AS package, 'CRITICAL' AS severity FROM deps WHERE lower(d) IN {_in(R.MALICIOUS_NPM)}
+UNION ALL SELECT path, 'suspicious_script', k, 'HIGH' FROM (SELECT path, k, j->'scripts'->>k AS c FROM s) WHERE {' OR '.join(f'contains(c, {literal(w)})' for w in R.RISKY_SCRIPTS)}""")
+def npm_issues(spark, sf_dir):
+    return dependencies.dependency_issues(tree(spark, sf_dir).where("filename = 'package.json'")).select("path", "type", "package", "severity")
+
+
+@query(f"""WITH b(bad) AS (VALUES {_BAD}, ('steel'), ('copper')), w AS (SELECT p_partkey, lower(unnest(string_split(p_name, ' '))) AS word FROM part)
+SELECT bad, levenshtein(word, lower(bad)) AS gap, count(*) AS parts FROM w, b WHERE levenshtein(word, lower(bad)) <= 3 GROUP BY ALL""")
+def fuzzy_names(spark, sf_dir):
+    """Edit distance as a join: words of part names near a short list."""
+    bad = F.explode(F.array(*[F.lit(x) for x in [*R.MALICIOUS_PYTHON, "steel", "copper"]]))
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).select(F.lower("word").alias("word"), bad.alias("bad"))
+    near = words.withColumn("gap", F.levenshtein("word", F.lower("bad")).cast("long")).where("gap <= 3")
+    return near.groupBy("bad", "gap").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query(f"""WITH {SEED}, kv AS (SELECT path, unnest([('tool', 'command'), ('tool', 'cmdline'), ('', 'name')]) AS x, content::JSON AS j FROM tree WHERE tail = 'package.json'),
+v AS (SELECT path, x[2] AS key, CASE WHEN x[1] = '' THEN j->>x[2] ELSE j->x[1]->>x[2] END AS value FROM kv) SELECT path, key || ': ' || value AS code_context, word FROM v, (SELECT unnest({_words(R.CONFIG_KEYWORDS)}) AS word) w WHERE contains(lower(value), word)""")
+def config_keyword_hits(spark, sf_dir):
+    found = configuration.config_findings(tree(spark, sf_dir).where("filename = 'package.json'"))
+    return found.select("path", "code_context", F.regexp_extract("description", "capability '([^']*)'", 1).alias("word"))
+
+
+@query()
+def python_calls(spark, sf_dir):
+    return pycalls.python_calls(tree(spark, sf_dir).where("ext = '.py'"))
+
+
+@query()
+def python_findings(spark, sf_dir):
+    files = tree(spark, sf_dir).where("ext = '.py'")
+    return pycalls.annotate(pycalls.python_findings(files), pycalls.safeguards(files))
+
+
+@query()
+def python_obfuscation(spark, sf_dir):
+    return pycalls.python_obfuscation(tree(spark, sf_dir).where("ext = '.py'"))
+
+
+# --- classification -----------------------------------------------------------------------------
+
+EXT = r"coalesce(nullif(lower(regexp_extract(filename, '^\.*[^.].*?(\.[^.]*)$', 1)), ''), '(no ext)')"
+NAMED = f"named AS (SELECT *, string_split(path, '/')[-1] AS filename FROM tree), typed AS (SELECT *, {EXT} AS ext FROM named)"
+WORDS = " + ".join(f"contains(lower(content[1:500]), {literal(w)})::INTEGER" for w in R.PROMPT_WORDS)
+LANGUAGE = f"""langs(ext, lang) AS (VALUES {', '.join(f'({literal(a)}, {literal(b)})' for a, b in R.LANGUAGES.items())}),
+files AS (SELECT t.*, CASE WHEN filename IN {_in(R.PACKAGE_FILES)} THEN 'dependency'
+WHEN t.ext = '.md' AND (upper(filename) IN {_in(R.PROMPT_FILES)} OR len(list_intersect(string_split(lower(path), '/')[:-2], {_words(R.PROMPT_DIRS)})) > 0 OR {WORDS} >= 2) THEN 'skill_prompt'
+WHEN lang IS NOT NULL THEN lang WHEN t.ext = '(no ext)' AND regexp_matches(content, '^#!\\s*/(?:usr/)?(?:bin/)?(bash|sh|zsh|dash|ksh)') THEN 'shell' END AS language FROM typed t LEFT JOIN langs USING (ext))"""
+
+
+@query(f"WITH {SEED}, {NAMED}, {LANGUAGE} SELECT repo, language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY ALL")
+def analyzed_counts(spark, sf_dir):
+    return classify.language_counts(classify.classified(tree(spark, sf_dir)))
+
+
+@query(f"WITH {SEED}, {NAMED} SELECT repo, ext, count(*) AS files FROM typed GROUP BY ALL")
+def file_type_counts(spark, sf_dir):
+    return classify.type_counts(classify.classified(tree(spark, sf_dir)))
+
+
+@query(f"""WITH {SEED}, {NAMED}, {LANGUAGE}, p AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) > 40 AS over_cap, strlen(content) > 512000 AS large FROM files),
+q AS (SELECT repo, over_cap, large, CASE WHEN NOT over_cap AND NOT large THEN language END AS language FROM p)
+SELECT repo, count(*) FILTER (NOT over_cap) AS files_walked, count(*) FILTER (language IS NOT NULL) AS files_analyzed, count(*) FILTER (NOT over_cap AND large) AS skipped_size, count(*) FILTER (over_cap OR (NOT large AND language IS NULL)) AS skipped_type, count(*) FILTER (over_cap) AS over_cap FROM q GROUP BY repo""")
+def walk_cap_stats(spark, sf_dir):
+    limited = classify.within_limits(tree(spark, sf_dir), 40)
+    known = classify.language(F.col("path"), F.col("filename"), F.col("ext"), F.col("content"))
+    return classify.walk_stats(limited.withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known)))
+
+
+_NAMES = ", ".join(f"({literal(e)}, {literal(n)}, {e in R.LANGUAGES}, {e in R.CODE_NAMES})" for e, n in {**R.CODE_NAMES, **R.TEXT_NAMES}.items())
+
+
+@query(f"""WITH {SEED}, {NAMED}, {LANGUAGE}, names(ext, name, supported, code) AS (VALUES {_NAMES}),
+k AS (SELECT repo, ext, name, coalesce(supported, FALSE) AS supported, coalesce(code, FALSE) AS code, language FROM files LEFT JOIN names USING (ext)),
+s AS (SELECT repo, count(*) FILTER (supported) AS supported, count(*) FILTER (code AND NOT supported) AS unsupported, count(*) FILTER (ext = '.md') AS md, count(*) FILTER (language = 'skill_prompt') AS prompts, count(*) FILTER (language IS NOT NULL AND language <> 'dependency') AS analyzed FROM k GROUP BY repo),
+n AS (SELECT repo, name, count(*) AS n, bool_or(supported OR NOT code) AS known FROM k WHERE name IS NOT NULL GROUP BY repo, name UNION ALL SELECT repo, 'Skill Prompt (MD)', prompts, TRUE FROM s WHERE prompts > 0),
+m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, name) = 1),
+b AS (SELECT *, prompts > 0 AND (prompts >= analyzed - prompts OR md > supported) AS based FROM s),
+r AS (SELECT *, CASE WHEN based THEN prompts + supported + unsupported ELSE supported + unsupported END AS whole FROM b)
+SELECT r.repo, supported + unsupported AS code_files, analyzed AS code_files_analyzed, prompts, based AS is_prompt_based, round(CASE WHEN whole > 0 THEN analyzed::DOUBLE / whole ELSE 1.0 END, 6) AS ratio, coalesce(m.name, 'N/A') AS dominant, coalesce(m.known, TRUE) AS dominant_supported,
+supported + unsupported > 5 AND (CASE WHEN whole > 0 THEN analyzed::DOUBLE / whole ELSE 1.0 END) < 0.5 AND NOT based AS is_low_coverage FROM r LEFT JOIN m USING (repo)""")
+def coverage(spark, sf_dir):
+    return classify.coverage(classify.classified(tree(spark, sf_dir)))
+
+
+# --- reviews and risk ---------------------------------------------------------------------------
+
+LEVELS = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "SAFE", "UNKNOWN"]
+VERDICTS = f"""verdicts AS (SELECT conv_id AS review, role || '-' || turn AS role, {_words(LEVELS)}[length(text) % 6 + 1] AS severity, (length(text) % 11)::DOUBLE / 10 AS confidence, length(text) % 3 = 0 AS malicious, length(text) % 7 = 0 AS gray, text[1:20] AS summary FROM conversations)"""
+ORDINAL = "coalesce(list_position(['UNKNOWN', 'SAFE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) - 1, 0)"
+
+
+def _verdicts(spark, sf_dir) -> DataFrame:
+    n = F.length("text")
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("review"), F.concat_ws("-", "role", "turn").alias("role"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), n % 6 + 1).alias("severity"), ((n % 11) / F.lit(10.0)).alias("confidence"), (n % 3 == 0).alias("malicious"), (n % 7 == 0).alias("gray"), F.substring("text", 1, 20).alias("summary"))
+
+
+def _consensus_sql(mean: str) -> str:
+    return f"""WITH {VERDICTS}, g AS (SELECT review, {mean} AS mean, sum(malicious::INTEGER) AS bad, count(*) AS votes, max(gray::INTEGER) AS gray, count(DISTINCT severity) AS kinds, avg(confidence) AS confidence, string_agg('[' || role || '] ' || summary, ' | ' ORDER BY role, severity, summary) AS consensus_summary FROM verdicts GROUP BY review)
+SELECT review, CASE WHEN mean IS NULL THEN 'UNKNOWN' WHEN mean >= 4.5 THEN 'CRITICAL' WHEN mean >= 3.5 THEN 'HIGH' WHEN mean >= 2.5 THEN 'MEDIUM' WHEN mean >= 1.5 THEN 'LOW' ELSE 'SAFE' END AS final_severity,
+round(CASE WHEN kinds = 1 THEN least(confidence + 0.1, 1.0) ELSE greatest(confidence - 0.2, 0.1) END, 6) AS final_confidence, bad * 2 > votes AS is_malicious, gray > 0 OR kinds > 1 AS is_gray_area, consensus_summary, (CASE WHEN kinds = 1 THEN 0 ELSE votes END)::INTEGER AS disagreements FROM g"""
+
+
+@query(_consensus_sql(f"avg(nullif({ORDINAL}, 0))"))
+def consensus(spark, sf_dir):
+    return review.consensus(_verdicts(spark, sf_dir))
+
+
+@query(_consensus_sql(f"avg({ORDINAL})"))
+def consensus_compat(spark, sf_dir):
+    return review.consensus(_verdicts(spark, sf_dir), compat=True)
+
+
+@query(f"""WITH {VERDICTS}, r AS (SELECT DISTINCT review, CASE WHEN review % 3 = 0 THEN 'HIGH' WHEN review % 3 = 1 THEN '' END AS final_severity FROM verdicts), k AS (SELECT review, max({ORDINAL}) AS o FROM verdicts WHERE severity <> 'UNKNOWN' GROUP BY review)
+SELECT review, coalesce(nullif(final_severity, ''), ['SAFE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][o], 'UNKNOWN') AS severity FROM r LEFT JOIN k USING (review)""")
+def group_severity_fold(spark, sf_dir):
+    verdicts = _verdicts(spark, sf_dir)
+    own = F.when(F.col("review") % 3 == 0, "HIGH").when(F.col("review") % 3 == 1, "")
+    return review.group_severity(verdicts.select("review").distinct().withColumn("final_severity", own), verdicts)
+
+
+RISKS = ["SAFE", "LOW (PARTIAL AUDIT — Go code not analyzed)", "MEDIUM", "HIGH", "CRITICAL", "PARTIAL — core language (Go) not analyzed", "INCOMPLETE", "EMPTY_REPO", "UNKNOWN", "LOW"]
+OVERRIDES = ["DO_NOT_USE", "VERIFY_BEFORE_USE", "OK"]
+_BASE = "regexp_extract(risk, '^(SAFE|LOW|MEDIUM|HIGH|CRITICAL)(?: |$)', 1)"
+
+
+@query(f"""WITH x AS (SELECT n_nationkey, {_words(RISKS)}[n_nationkey % 10 + 1] AS risk, {_words(OVERRIDES)}[(n_nationkey // 5) % 3 + 1] AS verdict FROM nation), y AS (SELECT *, {_BASE} AS base FROM x)
+SELECT n_nationkey, CASE WHEN risk IN ('INCOMPLETE', 'EMPTY_REPO', 'UNKNOWN') OR verdict = 'OK' THEN risk
+WHEN base = '' THEN CASE verdict WHEN 'DO_NOT_USE' THEN 'CRITICAL (' ELSE 'MEDIUM (' END || risk || ')' WHEN verdict = 'DO_NOT_USE' THEN 'CRITICAL' || risk[length(base) + 1:]
+ELSE CASE WHEN base IN ('SAFE', 'LOW') THEN 'MEDIUM' ELSE base END || risk[length(base) + 1:] END AS risk FROM y""")
+def trust_override(spark, sf_dir):
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+    k = F.col("n_nationkey")
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", pick(RISKS, k % 10).alias("risk"), pick(OVERRIDES, F.floor(k / 5) % 3).alias("verdict"))
+    return rows.select("n_nationkey", review.trust_override(F.col("risk"), F.col("verdict")).alias("risk"))
+
+
+@query(f"""{SHELL_HITS}, m AS (SELECT DISTINCT repo, path, name, severity FROM hits), r AS (SELECT repo, path, count(*) AS findings FROM m GROUP BY ALL), c AS (SELECT repo, path, coalesce(findings, 0) AS findings FROM corpus LEFT JOIN r USING (repo, path))
+SELECT repo, path, findings FROM c WHERE findings > 0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 10""")
+def review_selection(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    counts = matching.shell_findings(files).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("findings"))
+    results = files.select("repo", "path").join(counts, ["repo", "path"], "left").select("repo", "path", F.coalesce("findings", F.lit(0)).alias("findings"), F.lit("shell").alias("language"), F.lit(0.0).alias("obfuscation"), F.lit(0).alias("dep_issues"))
+    return review.selected(results).select("repo", "path", "findings")
+
+
+@query(f"{SHELL_HITS} SELECT repo, path FROM hits GROUP BY repo, path HAVING bool_or(severity IN ('CRITICAL', 'HIGH'))")
+def scenario_gate(spark, sf_dir):
+    return review.scenario_gate(matching.shell_findings(corpus(spark, sf_dir)))
+
+
+@query(f"""{SHELL_HITS}, m AS (SELECT DISTINCT repo, path, name, severity FROM hits), f AS (SELECT repo, count(*) AS files_total, count(*) // 2 AS files_analyzed FROM corpus GROUP BY repo), h AS (SELECT repo, {COUNTS}, count(*) FILTER (severity NOT IN ('SAFE', 'INFO')) AS total FROM m GROUP BY repo),
+x AS (SELECT f.*, h.* EXCLUDE (repo), right(f.repo, 1) IN ('1', '3') AS is_partial, CASE WHEN right(f.repo, 1) IN ('2', '3') THEN 'MEDIUM' END AS cap FROM f JOIN h USING (repo)), b AS (SELECT *, CASE WHEN cap IS NOT NULL AND ({RISK}) IN ('CRITICAL', 'HIGH') THEN cap ELSE {RISK} END AS base FROM x)
+SELECT repo, CASE WHEN files_analyzed = 0 AND files_total > 0 THEN 'INCOMPLETE' WHEN is_partial AND total > 0 THEN base || ' (PARTIAL AUDIT — Go code not analyzed)' WHEN is_partial THEN 'PARTIAL — core language (Go) not analyzed' ELSE base END AS risk FROM b""")
+def severity_rollup_risk(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    sizes = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files_total")).withColumn("files_analyzed", F.floor(F.col("files_total") / 2))
+    counts = sizes.join(review.histogram(matching.shell_findings(files)), "repo").withColumns({"is_partial": F.right("repo", F.lit(1)).isin("1", "3"), "cap": F.when(F.right("repo", F.lit(1)).isin("2", "3"), "MEDIUM"), "dominant": F.lit("Go")})
+    return review.overall_risk(counts).select("repo", "risk")
+
+
+CASES = f"cases AS (SELECT doc_id AS fixture, CASE WHEN toxic = 1 THEN 'TRUE_POSITIVE' WHEN quality = 1 THEN 'TRUE_NEGATIVE' ELSE 'GRAY_AREA' END AS category, {_words(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO', 'SAFE', 'NOT_AUDITED'])}[doc_id % 7 + 1] AS severity, doc_id % 3 AS findings, doc_id % 11 = 0 AS obfuscated FROM labels)"
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    c = F.col
+    names = F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "SAFE", "NOT_AUDITED")])
+    return _table(spark, sf_dir, "labels").select(c("doc_id").alias("fixture"), F.when(c("toxic") == 1, "TRUE_POSITIVE").when(c("quality") == 1, "TRUE_NEGATIVE").otherwise("GRAY_AREA").alias("category"), F.element_at(names, (c("doc_id") % 7 + 1).cast("int")).alias("severity"), (c("doc_id") % 3).alias("findings"), (c("doc_id") % 11 == 0).alias("obfuscated"))
+
+
+@query(f"""WITH {CASES}, x AS (SELECT *, CASE category WHEN 'TRUE_POSITIVE' THEN severity IN ('CRITICAL', 'HIGH') OR obfuscated WHEN 'TRUE_NEGATIVE' THEN severity IN ('SAFE', 'LOW', 'INFO', 'MEDIUM') ELSE findings > 0 END AS ok FROM cases)
+SELECT coalesce(category, 'ALL') AS category, count(*) AS total, count(*) FILTER (ok) AS passed, round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS rate FROM x GROUP BY ROLLUP (category)""")
+def selftest_rollup(spark, sf_dir):
+    return review.self_test(_cases(spark, sf_dir))
+
+
+@query(f"""WITH {CASES}, x AS (SELECT *, CASE category WHEN 'TRUE_NEGATIVE' THEN severity IN ('SAFE', 'LOW', 'INFO') WHEN 'GRAY_AREA' THEN severity IN ('MEDIUM', 'HIGH') ELSE severity IN ('CRITICAL', 'HIGH') AND findings > 0 END AS ok FROM cases)
+SELECT category, count(*) AS total, count(*) FILTER (ok) AS correct, count(*) FILTER (severity = 'NOT_AUDITED') AS not_audited, round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS rate FROM x GROUP BY category""")
+def evaluation_metrics(spark, sf_dir):
+    return review.evaluation(_cases(spark, sf_dir))
+
+
+# --- trust --------------------------------------------------------------------------------------
+
+DOMAIN = "lower(string_split(replace(replace(url, 'https://', ''), 'http://', ''), '/')[1])"
+SERVICE = "CASE WHEN len(string_split(domain, '.')) >= 2 THEN string_split(domain, '.')[-2] ELSE domain END"
+PLACEHOLDER = f"(domain = '' OR domain IN {_in(R.PLACEHOLDERS)} OR {' OR '.join(f'ends_with(domain, {literal(e)})' for e in R.PLACEHOLDER_ENDS)})"
+
+
+@query(f"""WITH d AS (SELECT page_id, {DOMAIN} AS domain FROM pages) SELECT domain, {SERVICE} AS service, {PLACEHOLDER} AS placeholder, regexp_replace(domain, '^www\\.', '') IN {_in(R.TRUSTED)} OR (contains(domain, '.') AND {SERVICE} IN {_in(R.TRUSTED)}) AS trusted, count(*) AS pages FROM d GROUP BY ALL""")
+def domain_functions(spark, sf_dir):
+    d = _table(spark, sf_dir, "pages").select(T.domain(F.col("url")).alias("domain"))
+    return d.select("domain", T.service(F.col("domain")).alias("service"), T.is_placeholder(F.col("domain"), R.PLACEHOLDERS, R.PLACEHOLDER_ENDS).alias("placeholder"), T.is_trusted(F.col("domain"), R.TRUSTED).alias("trusted")).groupBy("domain", "service", "placeholder", "trusted").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(rf"""WITH x AS (SELECT (page_id % 5)::VARCHAR AS repo, page_id::VARCHAR AS path, lower(regexp_extract(url, '^https?://([A-Za-z0-9._\-]+)', 1)) AS domain FROM pages), f AS (SELECT repo, domain, min(path) AS path FROM x WHERE domain NOT IN ('', 'localhost', '127.0.0.1') GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, domain) AS n FROM f QUALIFY n <= 8), s AS (SELECT repo, {SERVICE} AS service, min(n) AS n FROM d GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n) AS k FROM s QUALIFY k <= 4)
+SELECT repo, 'ta_code_api_' || lpad(n::VARCHAR, 3, '0') AS id, 'API_ENDPOINT' AS category, domain AS subject FROM d UNION ALL SELECT repo, 'ta_code_rep_' || service, 'SERVICE_REPUTATION', service FROM t""")
+def codebase_domains(spark, sf_dir):
+    files = _table(spark, sf_dir, "pages").select((F.col("page_id") % 5).cast("string").alias("repo"), F.col("page_id").cast("string").alias("path"), F.col("url").alias("content"))
+    return trust.codebase_assumptions(files).select("repo", "id", "category", "subject")
+
+
+SUBJECTS = ["api.1inch.dev", "evil-1inch.com", "1inch", "api.github.com", "example.org", "acme", "zeta.io"]
+DESCRIPTIONS = ["official documentation, widely used", "a hack and an exploit", "1inch developer portal", "nothing here", "stable open source github"]
+RESULTS = f"""results AS (SELECT {_words(SUBJECTS)}[doc_id % 7 + 1] AS subject, (doc_id // 7) % 12 AS position, text[1:30] AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://docs.' || {_words(SUBJECTS)}[doc_id % 7 + 1] || '/x' ELSE 'https://etherscan.io/' END AS url, {_words(DESCRIPTIONS)}[doc_id % 5 + 1] AS description FROM documents),
+subjects AS (SELECT unnest({_words(SUBJECTS)}) AS subject), words AS (SELECT *, lower(title || ' ' || description) AS w FROM results)"""
+
+
+def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n + 1).cast("int"))
+    subject = pick(SUBJECTS, 7)
+    rows = _table(spark, sf_dir, "documents").select(subject.alias("subject"), (F.floor(F.col("doc_id") / 7) % 12).alias("position"), F.substring("text", 1, 30).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://docs."), subject, F.lit("/x"))).otherwise("https://etherscan.io/").alias("url"), pick(DESCRIPTIONS, 5).alias("description"))
+    return spark.createDataFrame([(s,) for s in SUBJECTS], "subject string"), rows
+
+
+def _signals(words: list[str]) -> str:
+    return " + ".join(f"contains(w, {literal(x)})::INTEGER" for x in words)
+
+
+@query(f"""WITH {RESULTS}, c AS (SELECT subject, sum({_signals(R.POSITIVE)}) AS p, sum({_signals(R.NEGATIVE)}) AS n FROM words WHERE position < 8 GROUP BY subject), x AS (SELECT subject, subject AS domain, coalesce(p, 0)::BIGINT AS p, coalesce(n, 0)::BIGINT AS n FROM subjects LEFT JOIN c USING (subject)),
+k AS (SELECT *, CASE WHEN {PLACEHOLDER} THEN 1 WHEN domain IN {_in(R.TRUSTED)} OR (contains(domain, '.') AND {SERVICE} IN {_in(R.TRUSTED)}) THEN 2 WHEN domain = '1inch' THEN 3 WHEN n >= 2 THEN 4 WHEN p >= 3 THEN 5 WHEN p >= 1 THEN 6 ELSE 7 END AS c FROM x)
+SELECT subject, p AS positive, n AS negative, c NOT IN (4, 7) AS verified, [0.95, 0.98, 0.9, 0.1, 0.85, 0.6, 0.3][c]::DOUBLE AS score FROM k""")
+def reputation_scores(spark, sf_dir):
+    return trust.reputation_scores(*_results(spark, sf_dir))
+
+
+_ALLOW = _words(trust.OFFICIAL_DOMAINS["1inch"])
+
+
+@query(f"""WITH {RESULTS}, b AS (SELECT subject, subject AS domain, {SERVICE.replace('domain', 'subject')} AS service FROM subjects), j AS (SELECT b.*, r.url, lower(r.url) AS u, r.w FROM b LEFT JOIN (SELECT * FROM words WHERE position < 8) r USING (subject)),
+p AS (SELECT subject, domain, service, sum(CASE WHEN url IS NULL OR NOT (contains(w, domain) OR contains(u, domain) OR contains(w, service)) THEN 0 WHEN CASE WHEN service = '1inch' THEN len(list_filter(list_concat({_ALLOW}, {_words(trust.OFFICIAL_SITES['1inch'])}), lambda a: contains(u, a))) > 0 ELSE contains(u, service) OR contains(u, domain) END THEN 25 ELSE 10 END) AS points FROM j GROUP BY ALL),
+l AS (SELECT *, service = '1inch' AND len(list_filter({_ALLOW}, lambda a: domain = a OR ends_with(domain, '.' || a))) > 0 AS listed FROM p), s AS (SELECT *, least(1.0, (CASE WHEN listed THEN 65 ELSE 0 END + points)::DOUBLE / 100) AS score FROM l)
+SELECT subject, CASE WHEN {PLACEHOLDER} THEN TRUE WHEN service = '1inch' AND NOT listed THEN FALSE ELSE score >= 0.6 END AS verified, CASE WHEN {PLACEHOLDER} THEN 0.95 ELSE round(score, 6) END::DOUBLE AS score FROM s""")
+def endpoint_scores(spark, sf_dir):
+    return trust.endpoint_scores(*_results(spark, sf_dir))
+
+
+@query(f"""WITH {RESULTS}, b AS (SELECT subject, 'the official Router contract' AS claim FROM subjects), j AS (SELECT b.subject, lower(url) AS u, lower(description || ' ' || title) AS w FROM b LEFT JOIN (SELECT * FROM results WHERE position < 5) r USING (subject)),
+p AS (SELECT subject, sum(CASE WHEN contains(w, subject) OR contains(u, subject) THEN CASE WHEN contains(u, 'etherscan') OR contains(u, 'docs.') OR contains(u, 'official') OR contains(u, 'github.com') THEN 45 ELSE 20 END ELSE 0 END) AS points FROM j GROUP BY subject)
+SELECT subject, least(1.0, points::DOUBLE / 100) >= 0.4 AS verified, round(least(1.0, points::DOUBLE / 100), 6) AS score FROM p""")
+def contract_scores(spark, sf_dir):
+    subjects, results = _results(spark, sf_dir)
+    return trust.contract_scores(subjects.withColumn("claim", F.lit("the official Router contract")), results)
+
+
+ASSUMED = [(0, "https://api.github.com/x", True, 0.9, [3, 13]), (1, "zeta.io", True, 0.7, [13]), (2, "the", True, 0.5, [1]), (3, "der", True, 0.8, []), (4, "una", None, 0.9, [2])]
+
+
+@query(f"""WITH a(pos, subject, verified, confidence, ids) AS (VALUES {', '.join(f"({p}, {literal(s)}, {'NULL' if v is None else v}, {c}, {i}::INTEGER[])" for p, s, v, c, i in ASSUMED)}), good AS (SELECT * FROM a WHERE verified AND confidence >= 0.6),
+r AS (SELECT conv_id AS id, {_words(LEVELS)}[length(text) % 6 + 1] AS severity, lower(text) AS text FROM conversations WHERE turn = 0), named AS (SELECT id, arg_max(subject, pos) AS named FROM (SELECT pos, subject, unnest(ids) AS id FROM good) GROUP BY id),
+t AS (SELECT pos, subject, lower(subject) AS low, string_split(replace(replace(lower(subject), 'https://', ''), 'http://', ''), '/')[1] AS domain FROM good), u AS (SELECT *, {SERVICE} AS service FROM t),
+f AS (SELECT id, arg_min(subject, pos) AS by_text FROM r, u WHERE contains(text, low) OR contains(text, domain) OR (length(service) > 2 AND contains(text, service)) GROUP BY id),
+o AS (SELECT r.id, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN coalesce(named, by_text) END AS subject FROM r LEFT JOIN named USING (id) LEFT JOIN f USING (id))
+SELECT id, severity, subject, CASE WHEN subject IS NULL THEN severity WHEN severity = 'CRITICAL' THEN 'HIGH' WHEN severity = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS new_severity FROM o""")
+def downgrade_join(spark, sf_dir):
+    assumptions = spark.createDataFrame([("r", p, s, v, c, i) for p, s, v, c, i in ASSUMED], "repo string, pos int, subject string, verified boolean, confidence double, risk_ids array<long>")
+    reviews = _verdict_texts(spark, sf_dir)
+    return trust.downgrade(reviews, assumptions).select("id", "severity", "subject", "new_severity")
+
+
+def _verdict_texts(spark, sf_dir) -> DataFrame:
+    n = F.length("text")
+    return _table(spark, sf_dir, "conversations").where("turn = 0").select(F.lit("r").alias("repo"), F.col("conv_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), n % 6 + 1).alias("severity"), "text")
+
+
+# --- discovery, index, progress, replies --------------------------------------------------------
+
+
+@query(rf"""WITH {SEED}, l AS (SELECT DISTINCT regexp_replace(regexp_replace(unnest(regexp_extract_all(content, 'https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+')), '[)/.,;:''"]+$', ''), '\.git$', '') AS url FROM corpus)
+SELECT url, regexp_extract(url, 'github\.com/([^/]+)/([^/?#]+)', 1) AS owner, regexp_replace(regexp_extract(url, 'github\.com/([^/]+)/([^/?#]+)', 2), '\.git$', '') AS name FROM l WHERE {' AND '.join(f'NOT contains(url, {literal(w)})' for w in R.LINK_IGNORED)} ORDER BY url LIMIT 20""")
+def discover_links(spark, sf_dir):
+    return discovery.discover(corpus(spark, sf_dir))
+
+
+@query(rf"""WITH x AS (SELECT n_nationkey, ['https://github.com/a' || n_nationkey || '/tool', 'https://github.com/a/next.js', 'https://github.com/a/kit.git', 'https://github.com/a/b/tree/main/x/y/', 'https://search.example/?q=1'][n_nationkey % 5 + 1] AS u FROM nation)
+SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'a' || n_nationkey WHEN 2 THEN 'a' WHEN 3 THEN 'a' END AS owner, CASE n_nationkey % 5 WHEN 0 THEN 'tool' WHEN 2 THEN 'kit' WHEN 3 THEN 'b__x__y' END AS slug FROM x""")
+def target_addresses(spark, sf_dir):
+    k = F.col("n_nationkey")
+    urls = F.array(F.concat(F.lit("https://github.com/a"), k.cast("string"), F.lit("/tool")), F.lit("https://github.com/a/next.js"), F.lit("https://github.com/a/kit.git"), F.lit("https://github.com/a/b/tree/main/x/y/"), F.lit("https://search.example/?q=1"))
+    rows = _table(spark, sf_dir, "nation").select(k, discovery.target(F.element_at(urls, (k % 5 + 1).cast("int"))).alias("t"))
+    return rows.select("n_nationkey", F.col("t.owner").alias("owner"), discovery.slug(F.col("t.name"), F.col("t.subdir")).alias("slug"))
+
+
+@query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def index_latest(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", F.round("value", 6).alias("value"))
+    return discovery.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("WITH r AS (SELECT DISTINCT user_id AS owner FROM events WHERE value > 250) SELECT DISTINCT user_id AS owner FROM events WHERE user_id NOT IN (SELECT owner FROM r)")
+def uncached_targets(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.lit("x").alias("slug"), "value")
+    return discovery.uncached(events.select("owner", "slug").distinct(), events.where("value > 250")).select("owner")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_type, (70 + floor(i::DOUBLE / n * 13))::INTEGER AS pct, count(*) AS events FROM p GROUP BY ALL""")
+def progress_funnel(spark, sf_dir):
+    """Progress of each user's events in percent of a phase, counted by step."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("user_id")
+    rows = _table(spark, sf_dir, "events").select("event_type", F.row_number().over(own.orderBy("ts", "event_id")).alias("i"), F.count(F.lit(1)).over(own).alias("n"))
+    return rows.select("event_type", (70 + F.floor(F.col("i") / F.col("n") * 13)).cast("int").alias("pct")).groupBy("event_type", "pct").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"""WITH {SEED}, r AS (SELECT doc_id, CASE k WHEN 27 THEN '{{"severity":"HIGH","confidence":0.9}}' WHEN 29 THEN '{{"severity": "LOW", "confidence": "0.4"}}' END AS j FROM docs WHERE k IN (27, 29, 33))
+SELECT doc_id, coalesce(j->>'severity', 'UNKNOWN') AS severity, coalesce((j->>'confidence')::DOUBLE, 0.5) AS confidence FROM r""")
+def json_repair(spark, sf_dir):
+    rows = seeded._documents(spark, sf_dir).where("k in (27, 29, 33)").select("doc_id", T.json_object(F.col("snippet")).alias("j"))
+    return rows.select("doc_id", F.coalesce(F.get_json_object("j", "$.severity"), F.lit("UNKNOWN")).alias("severity"), F.coalesce(F.get_json_object("j", "$.confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
+
+
+@query(f"""WITH {SEED}, p AS (SELECT repo, path, tail, content FROM tree WHERE tail IN ('README.md', 'package.json')), f AS (SELECT repo, tail, arg_min(content, (length(path), path)) AS c FROM p GROUP BY ALL)
+SELECT r.repo, coalesce(string_agg(CASE tail WHEN 'README.md' THEN c[1:2000] ELSE 'Package: app - ' END, chr(10) || chr(10) ORDER BY CASE tail WHEN 'README.md' THEN 0 ELSE 2 END), 'No skill documentation found. Unknown purpose.') AS context FROM (SELECT DISTINCT repo FROM tree) r LEFT JOIN f USING (repo) GROUP BY r.repo""")
+def skill_context(spark, sf_dir):
+    return discovery.skill_context(tree(spark, sf_dir))
+
+
+@query()
+def audit_repositories(spark, sf_dir):
+    """The whole audit of the seeded tree: risk of each repository."""
+    reviews = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct().select("repo", F.lit("LOW").alias("final_severity"), F.lit(0.8).alias("final_confidence"))
+    made = plans.audit(tree(spark, sf_dir), reviews).repositories
+    return made.select("repo", "files_walked", "files_analyzed", "critical", "high", "medium", "low", "total", "risk", "confidence")
+
+
+@query()
+def audit_report(spark, sf_dir):
+    return plans.report(plans.audit(tree(spark, sf_dir)))
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def stream_index_upsert(spark, sf_dir):
+    """A file stream of events upserted into an index, read back."""
+    import tempfile
+    import uuid
+
+    from .streaming.index import current, upsert_stream
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditlake-stream-")
+    base = f"{base}/stream-{uuid.uuid4()}"
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet").select("user_id", "event_type", "event_id")
+    upsert_stream(rows, f"{base}/index", f"{base}/checkpoint", ["user_id", "event_type"], ["event_id"]).awaitTermination()
+    return current(spark, f"{base}/index")
