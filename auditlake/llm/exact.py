@@ -9,7 +9,7 @@ compared chunk by chunk, so a collision never merges two texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +61,21 @@ def normalise(text: bytes | None) -> bytes:
     return (text or b"").translate(None, BLANKS)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, lengths, hashes = [], [], []
-        for text in batch.column(1).to_pylist():
-            data = normalise(text)
-            prints.append(fingerprint(data))
-            lengths.append(len(data))
-            hashes.append(hashlib.sha256(data).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64()), pa.array(lengths, pa.int64()), pa.array(hashes, pa.string())], names=["id", "points", "print", "length", "sha"])
+def _scan(hasher: Callable[[bytes], int]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, lengths, hashes = [], [], []
+            for text in batch.column(1).to_pylist():
+                data = normalise(text)
+                prints.append(hasher(data))
+                lengths.append(len(data))
+                hashes.append(hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64()), pa.array(lengths, pa.int64()), pa.array(hashes, pa.string())], names=["id", "points", "print", "length", "sha"])
+
+    return scan
 
 
-def _chunks_of(marked: bytes):
+def _chunks_of(marked: bytes, hasher: Callable[[bytes], int]):
     bits = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def _chunks_of(marked: bytes):
             prints, lengths, numbers, parts, size = [], [], [], [], 0
             for text in batch.column(0).to_pylist():
                 data = normalise(text)
-                own = fingerprint(data)
+                own = hasher(data)
                 if not bits[own % FILTER_BITS]:
                     continue
                 for n, at in enumerate(range(0, len(data), CHUNK)):
@@ -101,7 +104,7 @@ def _chunk_batch(prints: list, lengths: list, numbers: list, parts: list) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(lengths, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], names=["print", "length", "number", "part"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Callable[[bytes], int] = fingerprint) -> DataFrame:
     """One row per row of docs: its group of equal texts and the row that stays.
 
     Texts are equal when identical after deleting every character of
@@ -112,18 +115,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows; further columns, whatever their names, are
     ignored.  Texts are read twice; only the chunks of rows whose fingerprint is
     marked as repeated leave their task, after map-side combining, so a group that
-    holds a third of all rows sends one row per task and chunk.  Runs actions.
+    holds a third of all rows sends one row per task and chunk.  hasher may be
+    weaker than the default; collisions are told apart.  Runs actions.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"))
     kind = docs.schema[id_col].dataType.simpleString()
-    scan = durable(rows.mapInArrow(_scan, f"id {kind}, points long, print long, length long, sha string"))
+    scan = durable(rows.mapInArrow(_scan(hasher), f"id {kind}, points long, print long, length long, sha string"))
     twins = scan.groupBy("print", "length").count().where("count > 1").select("print")
     at = F.pmod("print", F.lit(FILTER_BITS))
     marks = twins.groupBy(F.floor(at / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).collect()
     marked = bytearray(FILTER_BITS // 8)
     for r in marks:
         marked[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
-    chunks = rows.select("text").mapInArrow(_chunks_of(bytes(marked)), "print long, length long, number long, part binary")
+    chunks = rows.select("text").mapInArrow(_chunks_of(bytes(marked), hasher), "print long, length long, number long, part binary")
     clash = chunks.groupBy("print", "length", "number").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("print", "length").distinct().withColumn("clash", F.lit(True))
     keyed = scan.join(clash, ["print", "length"], "left").withColumn("part", F.when(F.col("clash"), F.col("sha"))).drop("clash")
     key = ["print", "length", "part"]
