@@ -138,9 +138,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; rows that repeat a kept id stay once."""
+    """docs without the rows that exact_groups drops; rows that repeat a kept id and its text stay once."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    stay = docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    return stay.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
