@@ -28,7 +28,7 @@ from .common import table
 
 #: Labelled documents of a class that a model is fitted on (in expectation; larger tables are
 #: sampled by a hash of the id), and the bytes that such a document may have.
-FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 6000, 400_000
+FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 6000, 20_000
 CODE = 8
 #: A toxic document with so many new codes, half of them seen in earlier ones, is a copy and trains nothing.
 COPY_CODES = 64
