@@ -123,3 +123,26 @@ def self_test(results: DataFrame) -> DataFrame:
     ok = F.when(F.col("category") == "TRUE_POSITIVE", s.isin("CRITICAL", "HIGH") | F.col("obfuscated")).when(F.col("category") == "TRUE_NEGATIVE", s.isin("SAFE", "LOW", "INFO", "MEDIUM")).when(F.col("category") == "GRAY_AREA", F.col("findings") > 0).otherwise(F.lit(True))
     rolled = results.withColumn("ok", ok).rollup("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"))
     return rolled.select(F.coalesce("category", F.lit("ALL")).alias("category"), "total", "passed", F.round(F.col("passed") / F.col("total"), 6).alias("rate"))
+
+
+def semantic_hits(reviews: DataFrame) -> DataFrame:
+    """Count of tagged reviews of each repository that found an attack where no rule had a hit."""
+    return tagged(reviews).groupBy("repo").agg(F.count_if("forced").alias("forced"), F.count_if("semantic_attack").alias("semantic_attacks"))
+
+
+def ordered_facts(facts: DataFrame) -> DataFrame:
+    """Facts(repo, pos, priority, fact) with their place: MUST, SHOULD, NICE, others as SHOULD; ties by position."""
+    order = F.when(F.col("priority") == "MUST", 0).when(F.col("priority") == "NICE", 2).otherwise(1)
+    return facts.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(order, "pos")))
+
+
+def top_types(counts: DataFrame, n: int = 8) -> DataFrame:
+    """The n most frequent file types of each repository, ties by name."""
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("files").desc(), "ext"))
+    return counts.withColumn("place", place).where(F.col("place") <= n)
+
+
+def review_prompt(path: Column, context: Column, content: Column) -> Column:
+    """Text of a review request, its parts cut to the lengths that a reviewer gets."""
+    part = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    return F.concat(F.lit("File: "), path, F.lit("\n\nContext:\n"), part(context, 3000), F.lit("\n\nContent:\n"), part(content, 6000))

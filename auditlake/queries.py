@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import classify, configuration, dependencies, discovery, matching, pycalls, review, trust
 from .plans import audit as plans
 from .schema import FINDING_ORDER
-from .sources import seeded
+from .sources import seeded, sinks
 from .sources.seeded import SQL as SEED
 from .sources.seeded import corpus, literal, rules_sql, tree
 
@@ -387,11 +387,11 @@ def contract_scores(spark, sf_dir):
     return trust.contract_scores(subjects.withColumn("claim", F.lit("the official Router contract")), results)
 
 
-ASSUMED = [(0, "https://api.github.com/x", True, 0.9, [3, 13]), (1, "zeta.io", True, 0.7, [13]), (2, "the", True, 0.5, [1]), (3, "der", True, 0.8, []), (4, "una", None, 0.9, [2])]
+ASSUMED = [(0, "https://api.github.com/x", True, 0.9, [3000, 13000]), (1, "zeta.io", True, 0.7, [13000]), (2, "the", True, 0.5, [1000]), (3, "der", True, 0.8, []), (4, "una", None, 0.9, [2000])]
 
 
 @query(f"""WITH a(pos, subject, verified, confidence, ids) AS (VALUES {', '.join(f"({p}, {literal(s)}, {'NULL' if v is None else v}, {c}, {i}::INTEGER[])" for p, s, v, c, i in ASSUMED)}), good AS (SELECT * FROM a WHERE verified AND confidence >= 0.6),
-r AS (SELECT conv_id AS id, {_words(LEVELS)}[length(text) % 6 + 1] AS severity, lower(text) AS text FROM conversations WHERE turn = 0), named AS (SELECT id, arg_max(subject, pos) AS named FROM (SELECT pos, subject, unnest(ids) AS id FROM good) GROUP BY id),
+r AS (SELECT conv_id * 1000 + turn AS id, {_words(LEVELS)}[length(text) % 6 + 1] AS severity, lower(text) AS text FROM conversations), named AS (SELECT id, arg_max(subject, pos) AS named FROM (SELECT pos, subject, unnest(ids) AS id FROM good) GROUP BY id),
 t AS (SELECT pos, subject, lower(subject) AS low, string_split(replace(replace(lower(subject), 'https://', ''), 'http://', ''), '/')[1] AS domain FROM good), u AS (SELECT *, {SERVICE} AS service FROM t),
 f AS (SELECT id, arg_min(subject, pos) AS by_text FROM r, u WHERE contains(text, low) OR contains(text, domain) OR (length(service) > 2 AND contains(text, service)) GROUP BY id),
 o AS (SELECT r.id, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN coalesce(named, by_text) END AS subject FROM r LEFT JOIN named USING (id) LEFT JOIN f USING (id))
@@ -404,7 +404,7 @@ def downgrade_join(spark, sf_dir):
 
 def _verdict_texts(spark, sf_dir) -> DataFrame:
     n = F.length("text")
-    return _table(spark, sf_dir, "conversations").where("turn = 0").select(F.lit("r").alias("repo"), F.col("conv_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), n % 6 + 1).alias("severity"), "text")
+    return _table(spark, sf_dir, "conversations").select(F.lit("r").alias("repo"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), n % 6 + 1).alias("severity"), "text")
 
 
 # --- discovery, index, progress, replies --------------------------------------------------------
@@ -448,10 +448,10 @@ def progress_funnel(spark, sf_dir):
     return rows.select("event_type", (70 + F.floor(F.col("i") / F.col("n") * 13)).cast("int").alias("pct")).groupBy("event_type", "pct").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query(f"""WITH {SEED}, r AS (SELECT doc_id, CASE k WHEN 27 THEN '{{"severity":"HIGH","confidence":0.9}}' WHEN 29 THEN '{{"severity": "LOW", "confidence": "0.4"}}' END AS j FROM docs WHERE k IN (27, 29, 33))
+@query(f"""WITH {SEED}, r AS (SELECT doc_id, CASE k WHEN 27 THEN '{{"severity":"HIGH","confidence":0.9}}' WHEN 29 THEN '{{"severity": "LOW", "confidence": "0.4"}}' END AS j FROM docs)
 SELECT doc_id, coalesce(j->>'severity', 'UNKNOWN') AS severity, coalesce((j->>'confidence')::DOUBLE, 0.5) AS confidence FROM r""")
 def json_repair(spark, sf_dir):
-    rows = seeded._documents(spark, sf_dir).where("k in (27, 29, 33)").select("doc_id", T.json_object(F.col("snippet")).alias("j"))
+    rows = seeded._documents(spark, sf_dir).select("doc_id", T.json_object(F.coalesce("snippet", F.lit("no reply"))).alias("j"))
     return rows.select("doc_id", F.coalesce(F.get_json_object("j", "$.severity"), F.lit("UNKNOWN")).alias("severity"), F.coalesce(F.get_json_object("j", "$.confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
 
 
@@ -488,3 +488,75 @@ def stream_index_upsert(spark, sf_dir):
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet").select("user_id", "event_type", "event_id")
     upsert_stream(rows, f"{base}/index", f"{base}/checkpoint", ["user_id", "event_type"], ["event_id"]).awaitTermination()
     return current(spark, f"{base}/index")
+
+
+# --- listings, tallies, texts -------------------------------------------------------------------
+
+
+@query(f"""WITH {SEED}, {NAMED}, c AS (SELECT repo, ext, count(*) AS files FROM typed GROUP BY ALL) SELECT repo, ext, files, row_number() OVER (PARTITION BY repo ORDER BY files DESC, ext)::INTEGER AS place FROM c QUALIFY place <= 3""")
+def top_file_types(spark, sf_dir):
+    return review.top_types(classify.type_counts(classify.classified(tree(spark, sf_dir))), 3)
+
+
+@query("SELECT user_id % 7 AS repo, event_id AS pos, row_number() OVER (PARTITION BY user_id % 7 ORDER BY CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 0 WHEN (SELECT max(event_type) FROM events) THEN 2 ELSE 1 END, event_id)::INTEGER AS place FROM events")
+def facts_order(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("event_type"), F.max("event_type")).first()
+    facts = events.select((F.col("user_id") % 7).alias("repo"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == first, "MUST").when(F.col("event_type") == last, "NICE").otherwise("OTHER").alias("priority"))
+    return review.ordered_facts(facts).select("repo", "pos", "place")
+
+
+@query("SELECT user_id AS repo, count(*) FILTER (value > 100) AS confirmed, count(*) FILTER (value <= 50) AS failed, count(*) FILTER (value > 50 AND value <= 100) AS inconclusive FROM events GROUP BY user_id")
+def trust_tally(spark, sf_dir):
+    value = F.col("value")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.when(value > 100, True).when(value <= 50, False).alias("verified"))
+    return trust.tally(rows)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'incomplete' WHEN doc_id % 7 = 0 THEN 'empty' WHEN toxic = 1 THEN 'unsupported_language' WHEN quality = 0 THEN 'low_coverage' WHEN doc_id % 3 > 0 THEN 'review_failures' WHEN doc_id % 2 = 0 THEN 'static_only' ELSE 'none' END AS banner FROM labels""")
+def banner_choice(spark, sf_dir):
+    c = F.col("doc_id")
+    return _table(spark, sf_dir, "labels").select("doc_id", review.banner(c % 11 == 0, c % 7 == 0, F.col("toxic") == 1, F.col("quality") == 0, c % 3, c % 2 == 0).alias("banner"))
+
+
+@query(f"""WITH {CASES} SELECT category AS repo, count(*) FILTER (findings = 0) AS forced, count(*) FILTER (findings = 0 AND (obfuscated OR severity IN ('CRITICAL', 'HIGH', 'MEDIUM'))) AS semantic_attacks FROM cases GROUP BY category""")
+def semantic_hits(spark, sf_dir):
+    rows = _cases(spark, sf_dir).select(F.col("category").alias("repo"), F.lit("skill_prompt").alias("language"), "findings", F.col("obfuscated").alias("is_malicious"), F.col("severity").alias("final_severity"))
+    return review.semantic_hits(rows)
+
+
+@query(r"""WITH f AS (SELECT page_id % 9 AS repo, page_id AS pos, url FROM pages), n AS (SELECT repo, regexp_extract(url, 'https?://(?:api\.|www\.)?(\w+)\.', 1) AS subject, min(pos) AS pos FROM f GROUP BY ALL), k AS (SELECT * FROM n WHERE subject <> '' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY pos, subject) <= 2)
+SELECT repo, 'ta_' || lpad((pos + 1)::VARCHAR, 3, '0') AS id, 'API_ENDPOINT' AS category, regexp_extract(regexp_extract(url, 'https?://[\w./\-]+'), '^https?://([^/]*)', 1) AS subject FROM f WHERE repo > 0
+UNION ALL SELECT 0, 'ta_001', 'SERVICE_REPUTATION', 'given' UNION ALL SELECT repo, 'ta_rep_' || subject, 'SERVICE_REPUTATION', subject FROM k""")
+def chain_assumptions(spark, sf_dir):
+    flows = _table(spark, sf_dir, "pages").select((F.col("page_id") % 9).alias("repo"), F.col("page_id").alias("pos"), F.col("url").alias("detail"))
+    given = spark.range(1).select(F.lit(0).cast("long").alias("repo"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("category"), F.lit("given").alias("subject"), F.lit("c").alias("claim"))
+    return trust.chain_assumptions(given, flows).select("repo", "id", "category", "subject")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'unknown' ELSE md5(o_orderkey::VARCHAR) END AS hash, CASE o_orderkey % 3 WHEN 1 THEN 'unknown' WHEN 0 THEN 'unknown' ELSE '2024-01-01' END AS date, CASE o_orderkey % 3 WHEN 0 THEN 'latest' ELSE md5(o_orderkey::VARCHAR)[1:12] END AS commit12 FROM orders""")
+def commit_info(spark, sf_dir):
+    k = F.col("o_orderkey")
+    line = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.md5(F.encode(k.cast("string"), "UTF-8"))).otherwise(F.concat(F.md5(F.encode(k.cast("string"), "UTF-8")), F.lit("|2024-01-01")))
+    commit, date = sinks.commit_parts(line)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", commit.alias("hash"), date.alias("date"), sinks.short_commit(commit).alias("commit12"))
+
+
+@query(f"""WITH {VERDICTS}, r AS (SELECT review % 5 AS repo, severity, confidence FROM verdicts), g AS (SELECT repo, avg(confidence) FILTER (severity <> 'UNKNOWN') AS mean FROM r GROUP BY repo)
+SELECT repo, round(CASE WHEN repo % 2 = 0 THEN greatest(mean * 0.4, 0.05) ELSE mean END, 6) AS confidence FROM g""")
+def overall_confidence(spark, sf_dir):
+    known = F.when(F.col("severity") != "UNKNOWN", F.col("confidence"))
+    means = _verdicts(spark, sf_dir).groupBy((F.col("review") % 5).alias("repo")).agg(F.avg(known).alias("mean"))
+    return means.select("repo", F.round(review.overall_confidence(F.col("mean"), F.lit(1), F.col("repo") % 2 == 0, F.lit(0.4)), 6).alias("confidence"))
+
+
+@query("SELECT owner, report, max(ts) AS ts FROM (SELECT user_id AS owner, event_type AS report, event_id AS ts FROM events) GROUP BY ALL")
+def cache_listing(spark, sf_dir):
+    """Newest report of each owner and name."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("report"), F.col("event_id").alias("ts"))
+    return discovery.latest(rows, ["owner", "report"], ["ts"]).orderBy("owner", "report")
+
+
+@query("SELECT doc_id, 'File: ' || doc_id || chr(10) || chr(10) || 'Context:' || chr(10) || source || chr(10) || chr(10) || 'Content:' || chr(10) || text[1:6000] AS prompt FROM documents")
+def review_prompts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", review.review_prompt(F.col("doc_id").cast("string"), F.col("source"), F.col("text")).alias("prompt"))

@@ -113,3 +113,17 @@ def test_context_of_repository(spark):
     files = text_table(spark.createDataFrame([("r", "README.md", "readme"), ("r", "SKILL.md", "skill"), ("s", "x.py", "1")], FILE), "repo", "path", "content")
     got = {r["repo"]: r["context"] for r in discovery.skill_context(files).collect()}
     assert got["r"] == "readme\n\nskill" and got["s"].startswith("No skill documentation")
+
+
+def test_command_line_outputs(spark, tmp_path):
+    from auditlake.plans.audit import audit
+    from auditlake.sources.files import read_repositories
+    from auditlake.sources.sinks import save_audit
+
+    (tmp_path / "in" / "r").mkdir(parents=True)
+    (tmp_path / "in" / "r" / "a.sh").write_text("#!/bin/bash\nsudo ls\n")
+    made = audit(read_repositories(spark, str(tmp_path / "in")))
+    save_audit(made, spark.createDataFrame([("r", "me", "0123456789abcdef")], "repo string, owner string, commit string"), str(tmp_path / "out"))
+    written = list((tmp_path / "out" / "reports" / "owner=me" / "repo=r" / "commit12=0123456789ab").glob("*.txt"))
+    assert written and "HIGH" in written[0].read_text()
+    assert spark.read.json(str(tmp_path / "out" / "meta")).first()["risk"] == "HIGH"
