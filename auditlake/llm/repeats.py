@@ -71,29 +71,35 @@ def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of every string of WIDTH bytes within one text; texts lie end to end.
 
-    Of equal hashes in a string the first is its anchor.
+    All places of a string that have its least hash are anchors.
     """
     if len(data) < WIDTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     gram = _gram_hashes(data, GRAM)
     window = WIDTH - GRAM + 1
-    least, place, size = gram, np.arange(len(gram), dtype=np.int64), 1
-    while size < window:
-        step = min(size, window - size)
-        right = least[step:] < least[:-step]
-        place = np.where(right, place[step:], place[:-step])
-        least = np.where(right, least[step:], least[:-step])
-        size += step
+    least = _sliding(np.minimum, gram, window)
     ends = np.cumsum(lengths)
     inside = np.zeros(len(data) + 1, np.int32)
     long = lengths >= WIDTH
     np.add.at(inside, (ends - lengths)[long], 1)
     np.add.at(inside, ends[long] - WIDTH + 1, -1)
-    where = place[np.flatnonzero(np.cumsum(inside)[: len(place)])]
-    where = where[np.r_[True, where[1:] != where[:-1]]] if len(where) else where
+    least[np.cumsum(inside)[: len(least)] == 0] = 0  # such a string would run into the next text
+    # a gram is least in some string iff it equals the greatest of the least hashes of the strings it lies in
+    edge = np.zeros(window - 1, np.uint64)
+    where = np.flatnonzero(_sliding(np.maximum, np.r_[edge, least, edge], window) == gram)
     return where, gram[where]
 
 
+def _sliding(pick: np.ufunc, values: np.ndarray, window: int) -> np.ndarray:
+    """pick over each window of values, by doubling."""
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        values = pick(values[:-step], values[step:])
+        size += step
+    return values
+
+
 def surroundings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes around each anchor (rows of AROUND), the valid part [low, high) of a row, and its text."""
     ends = np.cumsum(lengths)
