@@ -34,8 +34,9 @@ WIDTH, GRAM = 50, 20
 BATCH_BYTES, BATCH_ROWS = 6 << 20, 50_000
 #: Bytes around an anchor that any string with this anchor lies in, and the anchor's place there.
 AROUND, PLACE = 2 * WIDTH - GRAM, WIDTH - GRAM
-#: Buckets of anchor hashes (messages), and surroundings that one suffix array holds.
-BUCKETS, ARRAY_ROWS = 1 << 7, 12_000
+#: Batches for each bucket of anchor hashes, the least number of buckets, and the surroundings that
+#: one suffix array holds; they bound what a bucket gathers, whatever the size of the table.
+BATCHES, BUCKETS, ARRAY_ROWS = 8, 1 << 7, 12_000
 #: Letters of nine bits that one number holds, and ranks that one number holds.
 PACK, RANKS = 7, 3
 _PAD = 0xFF  # never part of UTF-8
@@ -271,8 +272,13 @@ def _split(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[order[a]]), order[a:b]
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(57)).astype(np.int64)
+def _bucket_bits(batches: int) -> int:
+    wanted = max(BUCKETS, -(-batches // BATCHES))
+    return max(1, (wanted - 1).bit_length())
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _message(uid: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -280,7 +286,7 @@ def _message(uid: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _short(hashes: np.ndarray) -> bytes:
-    """Six bytes of each hash; the low byte is left out, the top seven bits are the bucket's."""
+    """Six bytes of each hash; the low byte is left out, the top byte is the bucket's but for a bit at most."""
     return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes()
 
 
@@ -311,15 +317,19 @@ def _unsqueeze(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return out
 
 
-def _ask_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_hashes(bits: int):
     """Phase one: to each bucket the batch's anchor hashes; those it has twice come a second time."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, hashes = anchors(*_open(row["text"], row["lengths"]))
-            value, count = np.unique(hashes, return_counts=True)
-            value = np.sort(np.r_[value, value[count > 1]])
-            parts = [(b, value[at]) for b, at in _split(_bucket(value))]
-            yield _message(row["uid"], [(b, _short(v)) for b, v in parts])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, hashes = anchors(*_open(row["text"], row["lengths"]))
+                value, count = np.unique(hashes, return_counts=True)
+                value = np.sort(np.r_[value, value[count > 1]])
+                parts = [(b, value[at]) for b, at in _split(_bucket(value, bits))]
+                yield _message(row["uid"], [(b, _short(v)) for b, v in parts])
+
+    return ask
 
 
 def _answer_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,34 +367,38 @@ def _joined(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]
         yield head, answers
 
 
-def _ask_contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_contexts(bits: int):
     """Phase two: to each bucket the distinct surroundings of repeated anchors, with their least document."""
-    for head, answers in _joined(rows):
-        data, lengths = _open(head["text"], head["lengths"])
-        places, hashes = anchors(data, lengths)
-        bucket = _bucket(hashes)
-        short = _six(_short(hashes))
-        keep = np.zeros(len(hashes), bool)
-        order = {b: at for b, at in _split(bucket)}
-        for a in answers:
-            at = order[a["bucket"]]
-            keep[at[np.isin(short[at], _six(a["data"]))]] = True
-        ordinal = np.flatnonzero(keep)
-        if not len(ordinal):
-            continue
-        context, low, high, doc = surroundings(data, lengths, places[ordinal])
-        owner = np.frombuffer(head["ids"], np.int64)[doc]
-        key = np.c_[context, low, high]
-        first, group = _groups(key)
-        first = np.minimum.reduceat(np.argsort(group, kind="stable"), np.r_[0, np.cumsum(np.bincount(group))[:-1]])
-        least = np.full(len(first), _LAST)
-        np.minimum.at(least, group, owner)
-        where = bucket[ordinal[first]]
-        parts = []
-        for b, at in _split(where):
-            at = at[np.argsort(first[at])]
-            parts.append((b, _squeeze(ordinal[first[at]].astype(np.uint32), least[at], key[first[at]])))
-        yield _message(head["uid"], parts)
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, answers in _joined(rows):
+            data, lengths = _open(head["text"], head["lengths"])
+            places, hashes = anchors(data, lengths)
+            bucket = _bucket(hashes, bits)
+            short = _six(_short(hashes))
+            keep = np.zeros(len(hashes), bool)
+            order = {b: at for b, at in _split(bucket)}
+            for a in answers:
+                at = order[a["bucket"]]
+                keep[at[np.isin(short[at], _six(a["data"]))]] = True
+            ordinal = np.flatnonzero(keep)
+            if not len(ordinal):
+                continue
+            context, low, high, doc = surroundings(data, lengths, places[ordinal])
+            owner = np.frombuffer(head["ids"], np.int64)[doc]
+            key = np.c_[context, low, high]
+            first, group = _groups(key)
+            first = np.minimum.reduceat(np.argsort(group, kind="stable"), np.r_[0, np.cumsum(np.bincount(group))[:-1]])
+            least = np.full(len(first), _LAST)
+            np.minimum.at(least, group, owner)
+            where = bucket[ordinal[first]]
+            parts = []
+            for b, at in _split(where):
+                at = at[np.argsort(first[at])]
+                parts.append((b, _squeeze(ordinal[first[at]].astype(np.uint32), least[at], key[first[at]])))
+            yield _message(head["uid"], parts)
+
+    return ask
 
 
 def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +497,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     packed = durable(rows.mapInArrow(_pack, "uid long, ids binary, nulls binary, lengths binary, text binary"))
+    bits = _bucket_bits(packed.count())
     question = "bucket long, uid long, data binary"
-    hashes = packed.select("uid", "lengths", "text").mapInArrow(_ask_hashes, question).repartition("bucket").mapInArrow(_answer_hashes, question)
-    contexts = _with_answers(packed, hashes).mapInArrow(_ask_contexts, question).repartition("bucket").mapInArrow(_answer_contexts, question)
+    hashes = packed.select("uid", "lengths", "text").mapInArrow(_ask_hashes(bits), question).repartition("bucket").mapInArrow(_answer_hashes, question)
+    contexts = _with_answers(packed, hashes).mapInArrow(_ask_contexts(bits), question).repartition("bucket").mapInArrow(_answer_contexts, question)
     done = _with_answers(packed, contexts).mapInArrow(_apply, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("id", id_col)
 

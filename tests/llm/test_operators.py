@@ -273,6 +273,9 @@ def test_components(spark):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_repeats(spark, monkeypatch, seed):
     monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
+    if seed:  # more buckets for more batches
+        monkeypatch.setattr(repeats, "BUCKETS", 1)
+        monkeypatch.setattr(repeats, "BATCHES", 1)
     rng = np.random.default_rng(seed)
     parts = ["".join(rng.choice(list("abcdé "), size=n)) for n in (20, 49, 50, 51, 75, 80, 130, 300)] * 2 + ["a" * 120, " " * 90, "abab" * 40]
     rows = [(int(rng.integers(0, 80)), "".join(parts[j] if rng.random() < 0.7 else "".join(rng.choice(list("abcdefghij"), size=rng.integers(1, 60))) for j in rng.integers(0, len(parts), rng.integers(0, 7))) if rng.random() > 0.05 else None) for _ in range(100)]
