@@ -6,6 +6,10 @@ Patterns follow Python's dialect: ``(?d)`` lets only a line feed end a line for
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from re import _parser as parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +30,44 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def needed(pattern: str) -> list[str]:
+    """Strings of which every match holds at least one; empty if none can be told.
+
+    Of the parts that a match cannot do without, the one whose shortest string is
+    the longest.  ``likely`` tests them before the pattern runs.
+    """
+    return _needed_of(parser.parse(re.sub(r"^\(\?[a-z]+\)", "", pattern)))
+
+
+def _needed_of(part) -> list[str]:
+    """needed for a part of a parsed pattern."""
+    best, run = [], ""
+    for kind, value in [*part, (None, None)]:
+        if kind is parser.LITERAL:
+            run += chr(value)
+            continue
+        candidates = [[run]] if run else []
+        run = ""
+        inner = [value[-1]] if kind is parser.SUBPATTERN else [value[2]] if kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0 else value[1] if kind is parser.BRANCH else []
+        each = [_needed_of(x) for x in inner]
+        if each and all(each):
+            candidates.append([x for e in each for x in e])
+        for c in candidates:
+            if min(map(len, c)) > min(map(len, best), default=0):
+                best = c
+    return best
+
+
+def likely(text: Column, pattern: str) -> Column:
+    """A cheap test that every text with a match of pattern passes."""
+    found = needed(pattern)
+    if not found:
+        return F.lit(True)
+    if pattern.startswith("(?i)"):
+        text, found = F.lower(text), [x.lower() for x in found]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in dict.fromkeys(found)])
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?d){pattern}"))
 

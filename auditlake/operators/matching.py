@@ -1,13 +1,14 @@
 """Rules against lines and documents: hits, findings, deduplication, obfuscation scores.
 
 Rules are unrolled into literal patterns inside one projection over a file's
-array of lines, behind one combined pattern that most lines fail.  Matching needs
+array of lines, each behind a test for strings that its matches must hold.  Matching needs
 no shuffle, and the code context is cut from the same array for hits alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +26,16 @@ def line_hits(files: DataFrame, rules: Rules, skip: Callable[[str, Column], Colu
     skip(name, line) says which lines a rule leaves out.  Null contents have no
     lines; repeated files are matched each.
     """
-    guard = T.any_of([p for _, _, p in rules])
-
     def found(line: Column, number: Column) -> Column:
         tests = []
         for i, (severity, name, pattern) in enumerate(rules):
-            hit = T.matches(line, pattern)
+            hit = T.likely(line, pattern) & T.matches(line, pattern)
             hit = hit & ~skip(name, line) if skip else hit
             tests.append(F.when(hit, F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), number.alias("line"), line.alias("text"))))
         return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
     numbered = F.transform("lines", lambda line, i: F.struct(line.alias("x"), (i + 1).alias("n")))
-    likely = F.filter(numbered, lambda s: T.matches(s["x"], guard))
+    likely = F.filter(numbered, lambda s: reduce(lambda a, b: a | b, [T.likely(s["x"], p) for _, _, p in rules]))
     hits = F.flatten(F.transform(likely, lambda s: found(s["x"], s["n"])))
     return files.withColumn("lines", T.lines(F.col("content"))).drop("content").withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit")
 
@@ -92,7 +91,7 @@ def prompt_findings(files: DataFrame) -> DataFrame:
     for i, (severity, name, pattern) in enumerate(R.PROMPT_RULES):
         regex = f"(?dms){pattern}"
         before = F.split(F.col("content"), regex, 2)[0]
-        tests.append(F.when(F.col("content").rlike(regex), F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))))
+        tests.append(F.when(T.likely(F.col("content"), pattern) & F.col("content").rlike(regex), F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))))
     hits = files.withColumn("lines", T.lines(F.col("content"))).withColumn("hit", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))).select("*", "hit.*").drop("hit", "content")
     return _finding(hits, F.concat(F.lit("skill_prompt_"), "name"), T.rule_id("SK", F.col("severity"), F.col("line")), F.concat(F.lit("Skill Prompt: "), "name"), F.concat(F.lit("prompt rule "), "name"), 0.65, 3)
 
