@@ -263,6 +263,38 @@ def test_near_dedup(spark):
     assert kept.columns == docs(spark, []).columns
 
 
+@pytest.mark.parametrize("block", [4096, 4])
+def test_near_groups_at_the_similarity(spark, monkeypatch, block):
+    """Pairs at 0.75 to 0.85, short and long ones, and a chain: the links are those of the exact similarity."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for size, edits in [(n, e) for n in (24, 60, 150, 400) for e in range(1, 11)] + [(400, e) for e in range(11, 19)]:
+        base = [word() for _ in range(size)]
+        near = list(base)
+        for at in rng.sample(range(0, size, 5), min(edits, size // 5)):
+            near[at] = word()
+        texts += [base, near]
+    chain = [word() for _ in range(200)]
+    for at in range(0, 120, 10):
+        chain = [*chain[:at], word(), *chain[at + 1 :]]
+        texts.append(chain)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] & sets[b]}
+    assert sum(0.75 <= j < 0.8 for j in alike.values()) >= 5 and sum(0.8 <= j <= 0.85 for j in alike.values()) >= 5
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == reach(len(texts), [p for p, j in alike.items() if j >= 0.8])
+
+
+def test_similar_links():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(40, rng.integers(1, 12))).astype(np.uint64) for _ in range(80)]
+    sets += [np.unique(np.r_[s, rng.integers(0, 40, 1).astype(np.uint64)]) for s in sets]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert reach(len(sets), simhash.similar_links(sets, 0.8)) == reach(len(sets), near) and near
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
