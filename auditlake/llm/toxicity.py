@@ -34,6 +34,8 @@ CODE = 8
 COPY_CODES = 64
 #: Share of toxic documents that a code must occur in.
 TOXIC_SHARE = 0.01
+#: How many times more frequent (smoothed odds) in toxic than in ordinary documents a code must be to tell; the calibrated one is chosen from these.
+ODDS = (4.0, 8.0, 16.0, 32.0)
 #: Filler after the content: the compressor does not index the last bytes of a dictionary.
 TAIL = 32
 #: Words of a window, and the level at which windows are compressed.
@@ -127,6 +129,12 @@ def _isotonic(values: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, floa
     return tuple((float(v), float((s + 0.25) / (n + 0.5))) for v, s, n in blocks)
 
 
+def _telling(toxic: Counter, toxic_size: int, ordinary: Counter, ordinary_size: int, odds: float) -> set[bytes]:
+    """Codes whose smoothed odds of being in a toxic document are so many times those of being in an ordinary one."""
+    rate = lambda n, size: (n + 0.5) / (size - n + 0.5)
+    return {c for c, n in toxic.items() if rate(n, toxic_size) >= odds * rate(ordinary[c], ordinary_size)}
+
+
 def fit(texts: list[tuple[str | None, int]]) -> Model | None:
     """Model from (text, toxic) pairs in a fixed order; None where a class is missing."""
     unique = dict.fromkeys(texts)
@@ -134,27 +142,30 @@ def fit(texts: list[tuple[str | None, int]]) -> Model | None:
     if not coded[0] or not coded[1]:
         return None
     parts = {k: ([x for i, x in enumerate(v) if i % CALIBRATE or len(v) < CALIBRATE], v[::CALIBRATE]) for k, v in coded.items()}
-    known = {c for x in parts[0][0] for c in _codes(x)}
-    base = _train(BASE_BYTES, parts[0][0])
+    ordinary = Counter(c for x in parts[0][0] for c in set(_codes(x)))
     rest, seen = [], set()
     for x in parts[1][0]:
-        new = dict.fromkeys(c for c in _codes(x) if c not in known)
-        if new and (len(new) < COPY_CODES or 2 * len(seen.intersection(new)) < len(new)):
-            rest.append(b"".join(new))
-        seen.update(new)
-    added = _train(TOXIC_BYTES, rest, TOXIC_SHARE)
-    filler = np.random.default_rng(0).bytes(len(added) + TAIL)
-    added += filler[-TAIL:]
-    scorer = Scorer(base + filler, base + added)
-    found = [(scorer.differences(x), k) for k in (0, 1) for x in parts[k][1]]
-    labels = np.array([k for _, k in found])
+        new = {c for c in _codes(x) if c not in ordinary}
+        if len(new) < COPY_CODES or 2 * len(seen & new) < len(new):
+            rest.append(x)
+        seen |= new
+    toxic = Counter(c for x in rest for c in set(_codes(x)))
+    labels = np.array([k for k in (0, 1) for _ in parts[k][1]])
     best = None
-    for threshold in THRESHOLDS:
-        steps = _isotonic(np.array([_excess(d, threshold) for d, _ in found]), labels)
-        model = Model(base + filler, base + added, threshold, steps)
-        wrong = sum((model.score(_excess(d, threshold)) >= 0.5) != k for d, k in found)
-        if best is None or wrong < best[0]:
-            best = wrong, model
+    for odds in ODDS:
+        telling = _telling(toxic, len(rest), ordinary, len(parts[0][0]), odds)
+        base = _train(BASE_BYTES, [b"".join(c for c in _codes(x) if c not in telling) for x in parts[0][0]])
+        added = _train(TOXIC_BYTES, [b"".join(c for c in _codes(x) if c in telling) for x in rest], TOXIC_SHARE)
+        filler = np.random.default_rng(0).bytes(len(added) + TAIL)
+        added += filler[-TAIL:]
+        scorer = Scorer(base + filler, base + added)
+        found = [scorer.differences(x) for k in (0, 1) for x in parts[k][1]]
+        for threshold in THRESHOLDS:
+            excess = [_excess(d, threshold) for d in found]
+            model = Model(base + filler, base + added, threshold, _isotonic(np.array(excess), labels))
+            wrong = sum((model.score(e) >= 0.5) != k for e, k in zip(excess, labels, strict=True))
+            if best is None or wrong < best[0]:
+                best = wrong, model
     return best[1]
 
 

@@ -60,6 +60,20 @@ def test_toxicity():
     assert score("") < 0.5 and score(None) == score("") and toxicity.fit([]) is None and toxicity.fit([("a", 0)]) is None
 
 
+def test_toxicity_of_words_seen_in_ordinary_text():
+    """A quotation or a wrong label does not take a telling word out of the dictionary."""
+    rng = random.Random(6)
+    plain = [f"w{''.join(rng.choices('abcdefgh', k=5))}" for _ in range(300)]
+    bad = ["vile", "nasty", "awful"]
+    make = lambda toxic: " ".join(rng.choices(plain, k=40) + (rng.choices(bad, k=4) if toxic else []))
+    fitted = [(make(k % 4 == 0), int(k % 4 == 0)) for k in range(800)] + [(make(0) + " " + " ".join(bad), 0) for _ in range(3)]
+    rng.shuffle(fitted)
+    model = toxicity.fit(fitted)
+    scorer = toxicity.Scorer(model.ordinary, model.toxic)
+    held = [(make(k % 2), k % 2) for k in range(200)]
+    assert sum((model.score(toxicity._excess(scorer.differences(toxicity.encode(t)), model.threshold)) >= 0.7) == bool(y) for t, y in held) >= 195
+
+
 def test_toxicity_rows(spark, sample):
     rows = docs(spark, sample)
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)] + [(None, 1), (7, None)], "doc_id long, toxic int")
