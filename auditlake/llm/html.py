@@ -16,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,8 @@ NAMES = re.compile(r"^(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consen
 ARTICLE = {"article", "main"}
 ARTICLE_NAMES = re.compile(r"^(article|main|post|entry|story|articlebody)$")
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Blocks that hold text and no other slots.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "address", "figcaption"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp"}
 #: An element of the key is closed by the start of an element of the value.
@@ -76,6 +79,11 @@ class Page:
     elements: dict[str, Element] = field(default_factory=dict)
 
 
+def _tag(path: str) -> str:
+    """The tag of a path's last element."""
+    return path.rpartition("/")[2].partition(".")[0]
+
+
 def _open(parent: Element | None, tag: str, attributes: str) -> Element:
     names = [w for m in _ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()] if attributes else []
     words = [w for n in names for w in (n, *re.split(r"[-_]+", n))]
@@ -212,7 +220,11 @@ class Template:
         return path
 
     def _content(self, pages: list[Page]) -> set[str]:
-        """Slots of the article: inside an article element if the template has one, else those with the text."""
+        """Slots of the article: all inside an article element if there is one, else those with the text.
+
+        These are the large slots without too many links, and the small ones
+        (headline, lead, captions) within the element around them.
+        """
         words, links, article = Counter(), Counter(), set()
         for page in pages:
             for block in page.blocks:
@@ -222,11 +234,23 @@ class Template:
                     links[slot] += block.linked
                     if block.element.article:
                         article.add(slot)
+        if article:
+            return article
         open_ = {s for s in words if links[s] < LINKS * words[s]}
-        if article & open_:
-            return article & open_
         most = max((words[s] for s in open_), default=0)
-        return {s for s in open_ if words[s] >= MASS * most}
+        large = {s for s in open_ if words[s] >= MASS * most}
+        if not large:
+            return large
+        around = self._around(large)
+        return large | {s for s in words if (s in open_ or "h1" in map(_tag, s.split("/"))) and f"{s}/".startswith(around)}
+
+    @staticmethod
+    def _around(slots: set[str]) -> str:
+        """Path, with a final slash, of the deepest element around all slots that is not a paragraph or a heading itself."""
+        common = [x[0] for x in takewhile(lambda x: len(set(x)) == 1, zip(*(s.split("/") for s in slots)))]
+        while common and _tag(common[-1]) in TEXT:
+            common.pop()
+        return "".join(f"{x}/" for x in common)
 
     def constant(self, block: Block) -> bool:
         """Whether a block is the template's own text."""

@@ -229,6 +229,23 @@ def reach(n, pairs):
     return [find(i) for i in range(n)]
 
 
+def texts_of(make, n=9):
+    return html._group_texts([make(i) for i in range(n)])
+
+
+def test_small_slots_of_the_article_stay():
+    """A headline that is a link, and a headline, a byline and a lead outside any article element."""
+    body = lambda i: "".join(f"<p>{' '.join(f'w{i}x{k}y{j}' for j in range(20))}</p>" for k in range(3 + i % 3))
+    words = lambda i: [f"w{i}x{k}y{j}" for k in range(3 + i % 3) for j in range(20)]
+    menu = "<ul><li><a href=/a>one</a></li><li><a href=/b>two</a></li></ul>"
+    top = "<html><body><div id=top><a href=/>Site</a></div>"
+    linked = texts_of(lambda i: f"{top}<article><h1><a href=/{i}>Title{i} here{i}</a></h1>{body(i)}</article></body></html>")
+    assert [t.split() for t in linked] == [[f"Title{i}", f"here{i}", *words(i)] for i in range(9)]
+    for title in ("Title{0}", "<a href=/{0}>Title{0}</a>"):
+        plain = texts_of(lambda i: f"{top}{menu}<div id=content><h1>{title.format(i)}</h1><p class=byline>By{i}</p>{body(i)}</div><div id=end>end{i}</div></body></html>")
+        assert [t.split() for t in plain] == [[f"Title{i}", f"By{i}", *words(i)] for i in range(9)]
+
+
 @pytest.mark.parametrize(("words", "radius", "frontier"), [(1, 3, 1 << 12), (1, 3, 1 << 20), (3, 20, 1 << 12)])
 def test_gray_index(monkeypatch, words, radius, frontier):
     monkeypatch.setattr(simhash, "FRONTIER", frontier)
