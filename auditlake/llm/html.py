@@ -34,8 +34,14 @@ CLASS_TOKENS = 3
 LINKS, MASS = 0.5, 0.2
 #: Elements that hold no text of the article, wherever they are.
 DROP = {"head", "nav", "footer", "aside", "form", "noscript", "template", "button", "select", "svg", "iframe", "menu", "dialog", "object", "canvas"}
-#: Words of a class, an id or a role that mark such an element.
-NAMES = re.compile(r"^(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|sidebar|related|recommended|share|sharing|social|comments?|disqus|replies|nav\w*|menus?|breadcrumbs?|footer|header|masthead|pagination|pager|widget|toolbar|login|signup|search|hidden|complementary|contentinfo)$")
+#: Whole values of a class, an id or a role that mark such an element: a name alone,
+#: or with a word of place before it and a word of form after it.
+NAMES = re.compile(
+    r"^(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|sidebar|related|recommended|share|sharing|social|comments?|disqus|replies|nav|navigation|navbar|navmenu|menus?|breadcrumbs?|footer|pagination|pager|widget|toolbar|login|signup|search|hidden|complementary|contentinfo)"
+    r"|(?:(?:site|page|main|top|bottom|global|primary|secondary|left|right|post|entry|article)[-_])?(?:ads?|banner|cookies?|newsletter|sidebar|related|recommended|share|sharing|social|comments?|nav|navigation|navbar|menu|breadcrumbs?|footer|pagination|pager|search|login)(?:[-_](?:list|links|bar|box|area|section|block|form|buttons|icons|menu|posts|articles|items|notice|banner|consent|signup|popup|modal|slot|unit|left|right))?)$"
+)
+#: The same for the head of a page; inside an article they hold its headline.
+HEAD_NAMES = re.compile(r"^(?:(?:site|main|top|global)[-_])?(?:header|masthead)$")
 #: Elements, and words of a class, an id or a role, that hold an article.
 ARTICLE = {"article", "main"}
 ARTICLE_NAMES = re.compile(r"^(article|main|post|entry|story|articlebody)$")
@@ -54,11 +60,16 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Element:
-    """An open element: its path of names, and what its ancestors say about it."""
+    """An open element: its path of names, and what its ancestors say about it.
+
+    It is barred by its tag or as unseen, dropped by its names as well; named if its own names say so.
+    """
 
     tag: str
     path: str
+    barred: bool
     dropped: bool
+    named: bool
     article: bool
     link: bool
 
@@ -84,19 +95,25 @@ def _tag(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
 
-def _open(parent: Element | None, tag: str, attributes: str) -> Element:
+def _open(parent: Element | None, tag: str, attributes: str, spared: frozenset[str] = frozenset()) -> Element:
     names = [w for m in _ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()] if attributes else []
-    words = [w for n in names for w in (n, *re.split(r"[-_]+", n))]
-    inside = bool(parent and parent.article)
-    article = inside or tag in ARTICLE or any(ARTICLE_NAMES.match(w) for w in words)
-    dropped = bool(parent and parent.dropped) or tag in DROP or (tag == "header" and not inside) or (any(NAMES.match(w) for w in words) and tag not in ("html", "body")) or bool(attributes and _UNSEEN.search(attributes))
     label = tag + "".join(f".{n}" for n in sorted(set(names)))
-    return Element(tag, f"{parent.path}/{label}" if parent else label, dropped, article, tag == "a" or bool(parent and parent.link))
+    path = f"{parent.path}/{label}" if parent else label
+    inside = bool(parent and parent.article)
+    named = tag not in ("html", "body", *ARTICLE) and path not in spared and any(NAMES.match(n) or (not inside and HEAD_NAMES.match(n)) for n in names)
+    article = inside or tag in ARTICLE or (not named and any(ARTICLE_NAMES.match(w) for n in names for w in (n, *re.split(r"[-_]+", n))))
+    barred = bool(parent and parent.barred) or tag in DROP or (tag == "header" and not inside) or bool(attributes and _UNSEEN.search(attributes))
+    return Element(tag, path, barred, barred or named or bool(parent and parent.dropped), named, article, tag == "a" or bool(parent and parent.link))
+
 
+def parse(source: str | None, spared: frozenset[str] = frozenset()) -> Page:
+    """Tags and blocks of text of a page, in page order; forgiving about missing end tags.
 
-def parse(source: str | None) -> Page:
-    """Tags and blocks of text of a page, in page order; forgiving about missing end tags."""
+    Names drop no element of the paths spared.  Where they would drop every
+    article or main element of a page, those around these are spared.
+    """
     page, stack = Page(), [_open(None, "", "")]
+    around: set[str] = set()
     pieces: list[str] = []
     linked = 0
     text, at = source or "", 0
@@ -152,7 +169,9 @@ def parse(source: str | None) -> Page:
             if not closing or tag not in CLOSED_BY[stack[closing].tag] or any(e.tag in BLOCKS and e.tag not in CLOSED_BY for e in stack[closing + 1 :]):
                 break
             del stack[closing:]
-        element = _open(stack[-1], tag, m[3])
+        element = _open(stack[-1], tag, m[3], spared)
+        if tag in ARTICLE and not element.barred:
+            around |= {e.path for e in stack if e.named}
         page.tags.append(element.path)
         page.elements.setdefault(element.path, element)
         if element.dropped != stack[-1].dropped:
@@ -160,6 +179,8 @@ def parse(source: str | None) -> Page:
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(element)
     flush()
+    if around and not any(b.element.article and not b.element.dropped for b in page.blocks):
+        return parse(source, spared | around)
     return page
 
 
@@ -260,9 +281,10 @@ class Template:
         """The page's text in content slots, without the template's own.
 
         Where that would leave less than half of the words, the pages of the group
-        are near copies, whose common words are no template: they stay.
+        are near copies, whose common words are no template: they stay.  Where
+        names drop all text of a page, they do not count.
         """
-        kept = [b for b in page.blocks if not b.element.dropped]
+        kept = [b for b in page.blocks if not b.element.dropped] or [b for b in page.blocks if not b.element.barred]
         own = [b for b in kept if self.slot(b.element.path) in self.content]
         if any(b.element.article for b in own):
             own = [b for b in own if b.element.article]

@@ -246,6 +246,18 @@ def test_small_slots_of_the_article_stay():
         assert [t.split() for t in plain] == [[f"Title{i}", f"By{i}", *words(i)] for i in range(9)]
 
 
+@pytest.mark.parametrize("frame", ["<div class='overflow-hidden'><article>{}</article></div>", "<main class='has-sidebar'>{}</main>", "<article class='post no-comments'>{}</article>", "<div id=page class='with-nav'><div class=text>{}</div></div>", "<div class='sidebar'><main>{}</main></div>", "<article><div class='entry-header'>{}</div></article>", "<div class='hidden'>{}</div>"])
+def test_names_do_not_drop_the_article(frame):
+    texts = texts_of(lambda i: f"<html><body><nav>menu</nav>{frame.format(f'<h1>T{i}</h1><p>one{i} two{i}</p><p>three{i}</p>')}<footer>end</footer></body></html>")
+    assert [t.split() for t in texts] == [[f"T{i}", f"one{i}", f"two{i}", f"three{i}"] for i in range(9)]
+
+
+def test_names_drop_what_is_around_the_article():
+    for name in ("sidebar", "cookie-notice", "comments-area", "related_posts", "main-nav", "site-header", "post-navigation"):
+        texts = texts_of(lambda i: f"<html><body><article><p>one{i} two{i}</p><p>three{i}</p></article><div class='{name}'><p>more{i} of{i} this{i}</p></div></body></html>")
+        assert [t.split() for t in texts] == [[f"one{i}", f"two{i}", f"three{i}"] for i in range(9)]
+
+
 @pytest.mark.parametrize(("words", "radius", "frontier"), [(1, 3, 1 << 12), (1, 3, 1 << 20), (3, 20, 1 << 12)])
 def test_gray_index(monkeypatch, words, radius, frontier):
     monkeypatch.setattr(simhash, "FRONTIER", frontier)
