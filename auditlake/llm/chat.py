@@ -9,6 +9,7 @@ sorted order.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def _key(call_id):
     return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("\0"), call_id)
 
 
-def call_levels(calls: DataFrame, max_rounds: int = 64) -> DataFrame:
+def call_levels(calls: DataFrame) -> DataFrame:
     """(key, level) of calls(conv_id, call_id, arguments): 0 without references, else one more than the largest level referred to.
 
     References are to calls of the same conversation.  Each round places the
     calls whose references all are placed; the rounds are those of the longest
     chain of references.  References to calls that do not exist are ignored;
-    calls on a cycle, or beyond max_rounds, get the null level.  Runs actions.
+    calls on a cycle, or that refer to one, get the null level.  Runs actions.
     """
     own = calls.where("call_id is not null").withColumn("key", _key(F.col("call_id")))
     ids = own.select("key").distinct()
@@ -64,7 +65,7 @@ def call_levels(calls: DataFrame, max_rounds: int = 64) -> DataFrame:
     if waiting.isEmpty():
         return placed
     placed = durable(placed)
-    for level in range(1, max_rounds):
+    for level in count(1):
         blocked = waiting.join(placed.select(F.col("key").alias("needs")), "needs", "left_anti").select("key").distinct()
         ready = waiting.select("key").distinct().join(blocked, "key", "left_anti").join(placed, "key", "left_anti").withColumn("level", F.lit(level))
         ready = durable(ready)

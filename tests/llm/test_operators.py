@@ -398,3 +398,9 @@ def test_tool_calls(spark):
     assert lines["c5"] == '{"arguments":{"x":{"a":[true,null],"z":1}},"id":"c5","name":"g","type":"call"}'
     empty = chat.link_tool_calls(messages.limit(0), calls.limit(0), results.limit(0), schemas)
     assert empty.count() == 0
+
+
+def test_long_chain_of_calls(spark):
+    calls = spark.createDataFrame([(1, f"c{i}", f'{{"a":{{"$call":"c{i - 1}"}}}}' if i else "{}") for i in range(67)] + [(1, "x", '{"$call":"y"}'), (1, "y", '{"$call":"x"}')], "conv_id long, call_id string, arguments string").coalesce(1)
+    got = {r["key"].rpartition("\0")[2]: r["level"] for r in chat.call_levels(calls).collect()}
+    assert got == {**{f"c{i}": i for i in range(67)}, "x": None, "y": None}
