@@ -28,16 +28,16 @@ def language(path: Column, filename: Column, ext: Column, content: Column) -> Co
     return F.when(filename.isin(R.PACKAGE_FILES), "dependency").when((ext == ".md") & is_prompt(path, filename, content), "skill_prompt").when(by_ext.isNotNull(), by_ext).when((ext == "(no ext)") & has_shell_shebang(content), "shell")
 
 
-def within_limits(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """Mark each file as over_cap (beyond max_files of its repository, by path) or too_large."""
-    place = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
-    return files.withColumn("over_cap", place > max_files).withColumn("too_large", F.col("size_bytes") > MAX_BYTES)
+def within_limits(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
+    """Mark each file as over_cap (beyond max_files of its repository, by path; none without max_files) or too_large."""
+    over = F.lit(False) if max_files is None else F.row_number().over(Window.partitionBy("repo").orderBy("path")) > max_files
+    return files.withColumn("over_cap", over).withColumn("too_large", F.col("size_bytes") > MAX_BYTES)
 
 
-def classified(files: DataFrame) -> DataFrame:
+def classified(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
     """files with their language; files beyond the limits have none."""
     known = language(F.col("path"), F.col("filename"), F.col("ext"), F.col("content"))
-    return within_limits(files).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))
+    return within_limits(files, max_files).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))
 
 
 def walk_stats(files: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, configuration, dependencies, matching, pycalls, review
 from ..schema import rank
+from ..sources.files import MAX_FILES
 
 
 @dataclass
@@ -23,13 +24,14 @@ class Audit:
     repositories: DataFrame
 
 
-def audit(files: DataFrame, reviews: DataFrame | None = None) -> Audit:
+def audit(files: DataFrame, reviews: DataFrame | None = None, max_files: int | None = MAX_FILES) -> Audit:
     """Audit files(repo, path, filename, ext, size_bytes, content) of any number of repositories.
 
     reviews(repo, final_severity, final_confidence) are optional and take part in
-    the risk.  Everything is keyed by repository and path; nothing is looped.
+    the risk.  Of a repository the first max_files files by path are analysed, all
+    of them where that is None.  Everything is keyed by repository and path; nothing is looped.
     """
-    known = classify.classified(files)
+    known = classify.classified(files, max_files)
     of = lambda name: known.where(F.col("language") == name)
     python = of("python")
     code = pycalls.annotate(pycalls.python_findings(python), pycalls.safeguards(python))

@@ -465,13 +465,13 @@ def skill_context(spark, sf_dir):
 def audit_repositories(spark, sf_dir):
     """The whole audit of the seeded tree: risk of each repository."""
     reviews = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct().select("repo", F.lit("LOW").alias("final_severity"), F.lit(0.8).alias("final_confidence"))
-    made = plans.audit(tree(spark, sf_dir), reviews).repositories
+    made = plans.audit(tree(spark, sf_dir), reviews, max_files=None).repositories
     return made.select("repo", "files_walked", "files_analyzed", "critical", "high", "medium", "low", "total", "risk", "confidence")
 
 
 @query()
 def audit_report(spark, sf_dir):
-    return plans.report(plans.audit(tree(spark, sf_dir)))
+    return plans.report(plans.audit(tree(spark, sf_dir), max_files=None))
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")

@@ -127,3 +127,14 @@ def test_command_line_outputs(spark, tmp_path):
     written = list((tmp_path / "out" / "reports" / "owner=me" / "repo=r" / "commit12=0123456789ab").glob("*.txt"))
     assert written and "HIGH" in written[0].read_text()
     assert spark.read.json(str(tmp_path / "out" / "meta")).first()["risk"] == "HIGH"
+
+
+def test_audit_queries_have_no_file_cap(spark, tmp_path):
+    """Every file of a repository is analysed, not its first 300."""
+    from auditlake.queries import QUERIES
+
+    rows = [(i, "echo hello", "en", "a", 10) for i in range(320)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["audit_repositories"](spark, str(tmp_path)).collect()
+    assert sum(r["files_walked"] for r in got) >= 320
+    assert len(QUERIES["audit_report"](spark, str(tmp_path)).collect()) == len(got)
