@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint (an action).
 
     The files go to the folder that ``spark.checkpoint.dir`` names, which every
-    executor can read, so a lost executor loses nothing.  Only where that
-    setting is absent (a local test session) a temporary folder is used.
+    executor can read, so a lost executor loses nothing.  Only a local session may
+    lack that setting; it gets a temporary folder.  A checkpoint's files go when
+    the driver no longer refers to it, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set; they may go with the folder once a job's result is written.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -51,3 +58,62 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> tuple[Dat
         total += counts.get(p, 0)
     ranked = ordered.withColumn(name, literal_lookup(offsets, part) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))).drop(mid)
     return ranked, total
+
+
+#: Bits of the largest map of keys: 16 MB, whatever the size of the table.  A fuller map only marks more rows.
+MAP_BITS = 1 << 27
+
+
+def key_map(keys: DataFrame) -> bytes:
+    """Bit map of the longs in the one column of keys, by their remainder; its size is bounded by MAP_BITS.  Runs actions."""
+    (name,) = keys.columns
+    bits = min(MAP_BITS, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(name, F.lit(bits))
+    made = bytearray(bits // 8)
+    for r in keys.groupBy(F.floor(at / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).toLocalIterator():
+        made[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
+    return bytes(made)
+
+
+def in_map(made: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the signed 64-bit keys are marked; every key of the map is, and a few others."""
+    at = keys % np.int64(8 * len(made))
+    return np.frombuffer(made, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def in_doubt(rows: DataFrame, key: str, made: bytes, wanted: bool) -> DataFrame:
+    """The rows whose long key is marked in the map (or is not); nothing is shuffled."""
+    at = rows.columns.index(key)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_map(made, batch.column(at).to_numpy()) == wanted))
+
+    return rows.mapInArrow(pick, rows.schema)
+
+
+def settle(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> DataFrame:
+    """docs without the rows that decided(id, own, stays) drops; of equal rows that stay, one.
+
+    own is ``xxhash64`` of the text; decided has every (id, own) that is dropped
+    or that several rows share, and names each once.  A row is known by its id and
+    text, so rows that only share an id, a null one too, are decided apart.  Rows
+    that no map of the decided keys marks pass without any shuffle.
+    """
+    own, mark, stays, other_id, other_own = fresh(docs, "own", "mark", "stays", "other_id", "other_own")
+    marked = key_map(decided.select(F.xxhash64("id", "own").alias("key")))
+    rows = docs.withColumn(own, F.xxhash64(text_col)).withColumn(mark, F.xxhash64(id_col, own))
+    doubt = in_doubt(rows, mark, marked, True)
+    said = decided.select(F.col("id").alias(other_id), F.col("own").alias(other_own), F.col("stays").alias(stays))
+    left = doubt.join(said, (F.col(own) == F.col(other_own)) & F.col(id_col).eqNullSafe(F.col(other_id)), "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    return in_doubt(rows, mark, marked, False).select(*docs.columns).unionByName(left.dropDuplicates([id_col, own]).select(*docs.columns))
