@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, in_map, key_map, settle, table
 from .components import components
 
 SEED = 42
@@ -287,8 +287,6 @@ SPREAD = 4
 SAMPLE = 16
 #: Distinct shingles up to which a text's candidates come from its shingles themselves.
 FEW = 64
-#: Bits of the map of texts whose shingles are compared; its size is fixed.
-MARK_BITS = 1 << 23
 #: Slack for products of the similarity with whole numbers.
 SLACK = 1e-9
 
@@ -317,11 +315,10 @@ def _sets(width: int, similarity: float):
 
 def _shingles_of(marked: bytes, width: int):
     """The distinct shingles of the texts that are marked."""
-    bits = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.filter(pa.array(bits[batch.column(1).to_numpy() % MARK_BITS] > 0))
+            wanted = batch.filter(pa.array(in_map(marked, batch.column(1).to_numpy())))
             made = [np.unique(shingle_hashes(t, width)).tobytes() for t in wanted.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([wanted.column(0), wanted.column(1), pa.array(made, pa.binary())], names=["id", "own", "shingles"])
 
@@ -390,28 +387,16 @@ def _verified(rows: DataFrame, nodes: DataFrame, members: DataFrame, width: int,
     A component of more than BLOCK nodes is cut into blocks, whose pairs are dealt to tasks.
     """
     chosen = durable(nodes.join(members, "node").select("component", "node", "text.own", "text.id"))
-    at = F.pmod("own", F.lit(MARK_BITS))
-    marked = bytearray(MARK_BITS // 8)
-    for r in chosen.groupBy(F.floor(at / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).collect():
-        marked[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
+    marked = key_map(chosen.select("own"))
     kind = rows.schema["id"].dataType.simpleString()
-    a, b = rows.mapInArrow(_shingles_of(bytes(marked), width), f"id {kind}, own long, shingles binary").alias("a"), chosen.alias("b")
+    a, b = rows.mapInArrow(_shingles_of(marked, width), f"id {kind}, own long, shingles binary").alias("a"), chosen.alias("b")
     known = a.join(b, (F.col("a.own") == F.col("b.own")) & F.col("a.id").eqNullSafe(F.col("b.id"))).select("component", "node", "shingles")
     hot = chosen.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     return _cut(known, "component", hot, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "u long, v long")
 
 
-def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): groups of texts linked by the exact Jaccard similarity of their shingle sets.
-
-    Candidates come from 512-bit fingerprints of the distinct shingles, whose
-    differing share of bits is the angle between the sets: a pair meets if one of
-    96 bands agrees and is searched SPREAD standard deviations beyond the
-    expected distance.  Texts of at most FEW shingles meet, without any loss, all
-    texts that share one of their least shingles.  The shingles of candidates
-    are then compared themselves, so no pair below the similarity links.
-    component_id is the smallest id of a group (nulls aside).  Runs actions.
-    """
+def _near_rows(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, own, root) of every row of docs: own is a hash of its text, rows of one near-duplicate group share the root."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).cast("binary").alias("text"))
     sets = durable(rows.mapInArrow(_sets(width, similarity), f"id {kind}, own long, node long, print binary, least array<long>"))
@@ -424,15 +409,41 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     coarse = components(links)
     members = coarse.union(coarse.select("component", "component").distinct())
     roots = components(_verified(rows, nodes, members, width, similarity))
-    found = sets.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
+    return sets.select("id", "own", "node").join(roots, "node", "left").select("id", "own", F.coalesce("component", "node").alias("root"))
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): groups of texts linked by the exact Jaccard similarity of their shingle sets.
+
+    Candidates come from 512-bit fingerprints of the distinct shingles, whose
+    differing share of bits is the angle between the sets: a pair meets if one of
+    96 bands agrees and is searched SPREAD standard deviations beyond the
+    expected distance.  Texts of at most FEW shingles meet, without any loss, all
+    texts that share one of their least shingles.  The shingles of candidates
+    are then compared themselves, so no pair below the similarity links.
+    component_id is the smallest id of a group (nulls aside; null where all are).
+    Null and empty texts have no shingle and are one group; repeated rows are in
+    one group each; an empty table gives no rows; further columns are ignored.
+    Runs actions.
+    """
+    found = _near_rows(docs, width, similarity, id_col, text_col)
     least = found.groupBy("root").agg(F.min("id").alias("component_id"))
     return found.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each near-duplicate group; a null id stays."""
-    gone = near_groups(docs, width, similarity, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with one row of each near-duplicate group: that of the smallest id, a null one last.
+
+    Of rows that tie, the one whose text has the least hash stays, of equal rows
+    any single one.  Rows are told apart by id and text, so rows that only share an id are
+    decided each; an empty table gives no rows; all columns stay, whatever their
+    names.  Only rows of groups of several are shuffled.
+    """
+    found = _near_rows(docs, width, similarity, id_col, text_col)
+    best = found.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("best")).where("n > 1")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("own") == F.col("best.own"))
+    decided = durable(found.join(best, F.col("root") == F.col("of")).select("id", "own", stays.alias("stays")).distinct())
+    return settle(docs, id_col, text_col, decided)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
