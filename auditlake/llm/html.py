@@ -5,8 +5,11 @@ with its path of open elements; tokens that occur equally often on every page
 (equal occurrence vectors) form a class.  A class whose tokens keep one order on
 all pages is valid; the class of tokens that occur once on each page is the root
 of the template, classes that repeat inside one of its slots nest below it.
-Words of valid classes are the template's own text.  What is left lies in slots;
-the slots of the article are extracted.
+Words of valid classes are the template's own text.  What is left lies in slots.
+The slots with most text that are not menus are the article's body; the element
+of the template around them is the article, and its slots are extracted.  Lists of
+names only drop parts of that.  A host of too few pages has no template: there
+the article element, if there is one, and the lists decide.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Pages of a host whose template is deduced together; a larger host gives several such groups.
+#: Pages of a host whose template is deduced together, on average; a larger host is dealt to such groups by a hash.
 GROUP = 256
-#: Pages below which a host says nothing about its template; such pages are pooled.
+#: Different pages below which a host says nothing about its template.
 LEAST = 4
 #: Tokens that make a class large enough to belong to a template.
 CLASS_TOKENS = 3
-#: Share of link words from which a slot is a menu, and of the largest slot's words to be content as well.
-LINKS, MASS = 0.5, 0.2
+#: Share of link words, and links of a page, from which a slot is a menu.
+LINKS, MENU = 0.5, 3
+#: Share of the largest slot's words from which a slot is part of the body as well.
+MASS = 0.2
 #: Elements that hold no text of the article, wherever they are.
 DROP = {"head", "nav", "footer", "aside", "form", "noscript", "template", "button", "select", "svg", "iframe", "menu", "dialog", "object", "canvas"}
 #: Whole values of a class, an id or a role that mark such an element: a name alone,
@@ -42,9 +47,8 @@ NAMES = re.compile(
 )
 #: The same for the head of a page; inside an article they hold its headline.
 HEAD_NAMES = re.compile(r"^(?:(?:site|main|top|global)[-_])?(?:header|masthead)$")
-#: Elements, and words of a class, an id or a role, that hold an article.
+#: Elements that hold an article.
 ARTICLE = {"article", "main"}
-ARTICLE_NAMES = re.compile(r"^(article|main|post|entry|story|articlebody)$")
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Blocks that hold text and no other slots.
 TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "address", "figcaption"}
@@ -76,11 +80,12 @@ class Element:
 
 @dataclass
 class Block:
-    """Text of one block: its element, its words, and the words inside links."""
+    """Text of one block: its element, its words, the words inside links, and the links."""
 
     element: Element
     words: list[str]
     linked: int
+    links: int
 
 
 @dataclass
@@ -101,7 +106,7 @@ def _open(parent: Element | None, tag: str, attributes: str, spared: frozenset[s
     path = f"{parent.path}/{label}" if parent else label
     inside = bool(parent and parent.article)
     named = tag not in ("html", "body", *ARTICLE) and path not in spared and any(NAMES.match(n) or (not inside and HEAD_NAMES.match(n)) for n in names)
-    article = inside or tag in ARTICLE or (not named and any(ARTICLE_NAMES.match(w) for n in names for w in (n, *re.split(r"[-_]+", n))))
+    article = inside or tag in ARTICLE
     barred = bool(parent and parent.barred) or tag in DROP or (tag == "header" and not inside) or bool(attributes and _UNSEEN.search(attributes))
     return Element(tag, path, barred, barred or named or bool(parent and parent.dropped), named, article, tag == "a" or bool(parent and parent.link))
 
@@ -115,27 +120,28 @@ def parse(source: str | None, spared: frozenset[str] = frozenset()) -> Page:
     page, stack = Page(), [_open(None, "", "")]
     around: set[str] = set()
     pieces: list[str] = []
-    linked = 0
+    linked = links = 0
     text, at = source or "", 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if pieces:
             words = entities.unescape("".join(pieces)).split()
             if words:
-                page.blocks.append(Block(owner, words, min(linked, len(words))))
+                page.blocks.append(Block(owner, words, min(linked, len(words)), links))
             pieces.clear()
-            linked = 0
+            linked = links = 0
 
     owner = stack[0]
 
     def say(piece: str) -> None:
-        nonlocal linked, owner
+        nonlocal linked, links, owner
         if not pieces:
             owner = stack[-1]
         pieces.append(piece)
         if stack[-1].link:
             linked += len(piece.split())
+            links += bool(piece.strip())
 
     while at < len(text):
         m = _TOKEN.search(text, at)
@@ -185,7 +191,7 @@ def parse(source: str | None, spared: frozenset[str] = frozenset()) -> Page:
 
 
 class Template:
-    """Valid classes of a group of pages: paths of root tags, words of the template, content slots."""
+    """Valid classes of a group of pages of one host: paths of root tags, words of the template, the article's slots."""
 
     def __init__(self, pages: list[Page]):
         """pages differ from each other; fewer than LEAST of them give no class."""
@@ -204,6 +210,7 @@ class Template:
         wanted = {t for tokens in classes.values() for t in tokens}
         order = [self._order(p, wanted) for p in pages]
         self.root: set[str] = set()
+        self.slots: dict[str, str] = {}
         self.words: set[tuple[str, str]] = set()
         self.nested: list[tuple[str, set[str]]] = []
         for vector, tokens in sorted(classes.items(), key=lambda x: (max(x[0]) > 1, -len(x[1]))):
@@ -215,7 +222,7 @@ class Template:
                 self.nested.append((slots.pop(), own))
             if min(vector) and (own or max(vector) == 1):
                 self.words |= {t for t in valid if t[1]}
-        self.content = self._content(pages)
+        self.article, self.menus = self._article(pages)
 
     @staticmethod
     def _order(page: Page, wanted: set) -> list[tuple[str, str]]:
@@ -236,38 +243,37 @@ class Template:
 
     def slot(self, path: str) -> str:
         """The deepest root tag of the template that a path lies in."""
-        while path and path not in self.root:
-            path = path.rpartition("/")[0]
-        return path
+        if path not in self.slots:
+            own = path
+            while own and own not in self.root:
+                own = own.rpartition("/")[0]
+            self.slots[path] = own
+        return self.slots[path]
 
-    def _content(self, pages: list[Page]) -> set[str]:
-        """Slots of the article: all inside an article element if there is one, else those with the text.
+    def _article(self, pages: list[Page]) -> tuple[str, set[str]]:
+        """Path (with a final slash) of the element around the slots with most text, and the slots that are menus.
 
-        These are the large slots without too many links, and the small ones
-        (headline, lead, captions) within the element around them.
+        Slots that the lists name do not count, unless all are named.
         """
-        words, links, article = Counter(), Counter(), set()
+        words, linked, links, named = Counter(), Counter(), Counter(), Counter()
         for page in pages:
             for block in page.blocks:
-                if not block.element.dropped:
-                    slot = self.slot(block.element.path)
-                    words[slot] += len(block.words)
-                    links[slot] += block.linked
-                    if block.element.article:
-                        article.add(slot)
-        if article:
-            return article
-        open_ = {s for s in words if links[s] < LINKS * words[s]}
-        most = max((words[s] for s in open_), default=0)
-        large = {s for s in open_ if words[s] >= MASS * most}
-        if not large:
-            return large
-        around = self._around(large)
-        return large | {s for s in words if (s in open_ or "h1" in map(_tag, s.split("/"))) and f"{s}/".startswith(around)}
+                slot = self.slot(block.element.path)
+                words[slot] += len(block.words)
+                linked[slot] += block.linked
+                links[slot] += block.links
+                named[slot] += len(block.words) * block.element.dropped
+        heavy = {s for s in words if linked[s] >= LINKS * words[s]}
+        menus = {s for s in heavy if links[s] >= MENU * len(pages)}
+        body = {s for s in words if s not in heavy and 2 * named[s] <= words[s]} or set(words) - heavy or set(words)
+        most = max((words[s] for s in body), default=0)
+        return self._around({s for s in body if words[s] >= MASS * most}), menus
 
     @staticmethod
     def _around(slots: set[str]) -> str:
         """Path, with a final slash, of the deepest element around all slots that is not a paragraph or a heading itself."""
+        if not slots:
+            return ""
         common = [x[0] for x in takewhile(lambda x: len(set(x)) == 1, zip(*(s.split("/") for s in slots)))]
         while common and _tag(common[-1]) in TEXT:
             common.pop()
@@ -278,75 +284,84 @@ class Template:
         return bool(self.words) and all((block.element.path, w) in self.words for w in block.words)
 
     def extract(self, page: Page) -> str:
-        """The page's text in content slots, without the template's own.
+        """The page's text inside the article, without menus, what the lists name, and the template's own text.
 
         Where that would leave less than half of the words, the pages of the group
         are near copies, whose common words are no template: they stay.  Where
-        names drop all text of a page, they do not count.
+        names drop all text of the article, they do not count.  A page without
+        the article of its template is read like one of a host without template;
+        where no class is valid, the whole page is one slot and all of it stays.
         """
-        kept = [b for b in page.blocks if not b.element.dropped] or [b for b in page.blocks if not b.element.barred]
-        own = [b for b in kept if self.slot(b.element.path) in self.content]
-        if any(b.element.article for b in own):
-            own = [b for b in own if b.element.article]
+        if not self.root:
+            return _joined(page.blocks)
+        inside = [b for b in page.blocks if f"{b.element.path}/".startswith(self.article) and self.slot(b.element.path) not in self.menus]
+        own = [b for b in inside if not b.element.dropped] or [b for b in inside if not b.element.barred]
+        if not own:
+            return alone(page)
         free = [b for b in own if not self.constant(b)]
-        if 2 * sum(len(b.words) for b in free) >= sum(len(b.words) for b in own):
-            own = free
-        return "\n".join(" ".join(b.words) for b in own or kept)
+        return _joined(free if 2 * sum(len(b.words) for b in free) >= sum(len(b.words) for b in own) else own)
+
+
+def _joined(blocks: list[Block]) -> str:
+    return "\n".join(" ".join(b.words) for b in blocks)
+
+
+def alone(page: Page) -> str:
+    """The text of a page whose host has no template: its article elements, or all, without what the lists name."""
+    kept = [b for b in page.blocks if not b.element.dropped] or [b for b in page.blocks if not b.element.barred]
+    return _joined([b for b in kept if b.element.article] or kept)
 
 
 def _group_texts(sources: list[str | None]) -> list[str]:
+    """Main texts of pages of one host."""
     pages = {s: parse(s) for s in dict.fromkeys(sources)}
-    template = Template(list(pages.values()))
-    texts = {s: template.extract(p) for s, p in pages.items()}
+    template = Template(list(pages.values())) if len(pages) >= LEAST else None
+    texts = {s: template.extract(p) if template else alone(p) for s, p in pages.items()}
     return [texts[s] for s in sources]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host; runs of one host are grouped, small ones are pooled."""
-    host, run, pool = None, [], []
+    """Rows come sorted by host and group; equal sources are held once."""
+    now, rows, sources = None, [], {}
+    kind = pa.int64()
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        texts = _group_texts([r[2] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]).cast(kind), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+    def answer() -> pa.RecordBatch:
+        texts = _group_texts(list(sources))
+        own = [texts[r[2]] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]).cast(kind), pa.array([r[1] for r in rows], pa.string()), pa.array(own, pa.string()), pa.array([len(t) for t in own], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    kind = pa.int64()
     for batch in batches:
-        kind = batch.schema.field(1).type
-        for own, i, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own != host or len(run) >= GROUP:
-                if len(run) >= LEAST:
-                    yield answer(run)
-                else:
-                    pool += run
-                    if len(pool) >= GROUP:
-                        yield answer(pool)
-                        pool = []
-                host, run = own, []
-            run.append((i, url, source))
-    if len(run) >= LEAST:
-        yield answer(run)
-    else:
-        pool += run
-    if pool:
-        yield answer(pool)
+        kind = batch.schema.field(2).type
+        for host, group, i, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (host, group) != now:
+                if rows:
+                    yield answer()
+                now, rows, sources = (host, group), [], {}
+            rows.append((i, url, sources.setdefault(source, len(sources))))
+    if rows:
+        yield answer()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row of pages, from its whole source.
 
-    Pages are range-partitioned by host and a hash of the source, one shuffle; a
-    host that holds a third of all rows spans many partitions and is cut into
-    groups of GROUP pages, each with enough pages for its template.  Hosts of
-    fewer than LEAST pages in a partition are pooled.  A null source or one without
-    text gives an empty text; a null url counts as a host of its own; repeated
-    rows are extracted each; an empty table gives no rows; further columns are
-    ignored.
+    A host of more than GROUP pages is dealt to groups of about that many by a
+    hash of id, url and source, so a host that holds a third of all rows is many
+    groups; each group has its template.  Groups, and so texts, do not depend on
+    partitions.  A host of fewer than LEAST different pages has no template.  A
+    null source or one without text gives an empty text; a null url counts as a
+    host of its own; repeated rows are extracted each; an empty table gives no
+    rows; further columns are ignored.  Hosts are counted on narrow rows; sources are
+    shuffled once.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(host.alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    dealt = rows.repartitionByRange("host", F.xxhash64("id", "url")).sortWithinPartitions("host", F.xxhash64("id", "url"))
-    return dealt.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    large = rows.groupBy(F.col("host").alias("of")).count().where(F.col("count") > GROUP).select("of", F.ceil(F.col("count") / GROUP).alias("groups"))
+    group = F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("groups", F.lit(1))).alias("group")
+    dealt = rows.join(large, F.col("host") == F.col("of"), "left").select("host", group, "id", "url", "html")
+    sorted_ = dealt.repartition("host", "group").sortWithinPartitions("host", "group")
+    return sorted_.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
