@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import chat, components, decontam, exact, html, language, packing, repeats, sharding, simhash, toxicity
+from auditlake.llm import chat, common, components, decontam, exact, html, language, packing, repeats, sharding, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, kept string, `group` string"
 
@@ -104,7 +104,7 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(10, item), (11, None), (12, " .,"), (13, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contamination(docs(spark, rows), items).collect()}
     assert got == {(1, 10): 0, (2, 10): 4, (None, 10): 0}
-    assert {r["doc_id"] for r in decontam.decontaminate(docs(spark, rows), items).collect()} == {3, 4, 5, 6, None}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs(spark, rows), items).collect()} == {3, 4, 5, 6}
     assert decontam.contamination(docs(spark, rows), items.limit(0)).count() == 0
 
 
@@ -345,21 +345,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_repeats(spark, monkeypatch, seed):
-    monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
-    if seed:  # more buckets for more batches
-        monkeypatch.setattr(repeats, "BUCKETS", 1)
-        monkeypatch.setattr(repeats, "BATCHES", 1)
-    rng = np.random.default_rng(seed)
-    parts = ["".join(rng.choice(list("abcdé "), size=n)) for n in (20, 49, 50, 51, 75, 80, 130, 300)] * 2 + ["a" * 120, " " * 90, "abab" * 40]
-    rows = [(int(rng.integers(0, 80)), "".join(parts[j] if rng.random() < 0.7 else "".join(rng.choice(list("abcdefghij"), size=rng.integers(1, 60))) for j in rng.integers(0, len(parts), rng.integers(0, 7))) if rng.random() > 0.05 else None) for _ in range(100)]
+def repeats_by_force(rows):
     first: dict[bytes, int] = {}
     for i, t in rows:
         data = (t or "").encode()
         for p in range(len(data) - 49):
             first[data[p : p + 50]] = min(first.get(data[p : p + 50], i), i)
-    want = []
+    out = []
     for i, t in rows:
         data = (t or "").encode()
         gone = bytearray(len(data))
@@ -367,12 +359,57 @@ def test_repeats(spark, monkeypatch, seed):
             if first[data[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
         left = bytes(c for c, g in zip(data, gone) if not g)
-        want.append((i, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+        out.append((i, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(0, repeats.Limits()), (1, repeats.Limits(batch_bytes=3000)), (2, repeats.Limits(batch_bytes=3000, array_rows=40)), (3, repeats.Limits(batch_bytes=2000, hot=4, many=2)), (4, repeats.Limits(batch_rows=7, hot=1, many=2))])
+def test_repeats(spark, seed, limits):
+    rng = np.random.default_rng(seed)
+    parts = ["".join(rng.choice(list("abcdé "), size=n)) for n in (20, 49, 50, 51, 75, 80, 130, 300)] * 2 + ["a" * 120, " " * 90, "abab" * 40]
+    rows = [(int(rng.integers(0, 80)), "".join(parts[j] if rng.random() < 0.7 else "".join(rng.choice(list("abcdefghij"), size=rng.integers(1, 60))) for j in rng.integers(0, len(parts), rng.integers(0, 7))) if rng.random() > 0.05 else None) for _ in range(100)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(9)]
     frame = docs(spark, [(i, t, "en", "a") for i, t in rows], 4)
-    assert sorted(map(tuple, repeats.remove_repeats(frame).collect())) == sorted(want)
+    assert sorted(map(tuple, repeats.remove_repeats(frame, limits=limits).collect())) == repeats_by_force(rows)
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limits", [repeats.Limits(), repeats.Limits(batch_bytes=50_000, hot=20, many=4)])
+def test_repeats_of_a_hot_string_and_a_long_text(spark, limits):
+    """A string of 25 bytes that stands in many documents between different neighbours, and a text of 200 KB."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), size=n))
+    hot, shared = "the very same common line", [word(35) for _ in range(6)]
+    long = word(200_000)
+    rows = [(i, word(40) + rng.choice(shared) + hot + rng.choice(shared) + word(30)) for i in range(150)]
+    rows += [(500, long), (400, long[1000:1200] + word(20)), (600, word(60) + long[150_000:150_090])]
+    frame = docs(spark, [(i, t, "en", "a") for i, t in rows], 3)
+    assert sorted(map(tuple, repeats.remove_repeats(frame, limits=limits).collect())) == repeats_by_force(rows)
+
+
+def test_anchored_suffix_array():
+    """The order from both sides of the anchor finds what the general suffix array finds."""
+    rng = np.random.default_rng(4)
+    gram = rng.integers(97, 99, (3, repeats.GRAM)).astype(np.uint8)
+    rows = rng.integers(97, 99, (60, repeats.AROUND)).astype(np.uint8)[rng.integers(0, 60, 400)]
+    rows[np.arange(400), rng.integers(0, repeats.AROUND, 400)] = 120
+    rows[:, repeats.PLACE : repeats.PLACE + repeats.GRAM] = gram[rng.integers(0, 3, 400)]
+    low, high = rng.integers(0, 15, 400), rng.integers(62, 81, 400)
+    column = np.arange(repeats.AROUND)
+    rows[(column < low[:, None]) | (column >= high[:, None])] = 255
+
+    def found(array):
+        out = set()
+        for length, first, last in array.maximal_repeats():
+            places = array.suffix[first : last + 1]
+            start = set((places % array.step).tolist())
+            if len(start) == 1 and min(start) <= repeats.PLACE and min(start) + length >= repeats.PLACE + repeats.GRAM:
+                out.add((length, tuple(sorted(places.tolist()))))
+        return out
+
+    assert found(repeats.AnchoredSuffixArray(rows, low, high)) == found(repeats.SuffixArray(rows, low, high)) != set()
+
+
 def test_maximal_repeats(monkeypatch):
     monkeypatch.setattr(repeats, "WIDTH", 3)
     text = b"abcabcxabcdabcd"
@@ -404,3 +441,99 @@ def test_long_chain_of_calls(spark):
     calls = spark.createDataFrame([(1, f"c{i}", f'{{"a":{{"$call":"c{i - 1}"}}}}' if i else "{}") for i in range(67)] + [(1, "x", '{"$call":"y"}'), (1, "y", '{"$call":"x"}')], "conv_id long, call_id string, arguments string").coalesce(1)
     got = {r["key"].rpartition("\0")[2]: r["level"] for r in chat.call_levels(calls).collect()}
     assert got == {**{f"c{i}": i for i in range(67)}, "x": None, "y": None}
+
+
+def texts_left(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+
+
+def test_repeated_and_null_ids_keep_their_texts(spark):
+    """Rows that share an id, a null one too, are decided one by one."""
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b, c = text(120), text(120), text(120)
+    near = " ".join([*a.split()[:60], "other", *a.split()[61:]])
+    rows = [(1, a), (5, near), (5, b), (5, b), (None, near), (None, c), (None, c)]
+    frame = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    assert texts_left(simhash.near_dedup(frame)) == sorted([(1, a), (5, b), (None, c)], key=str)
+    rows = [(1, "aaa bbb"), (2, "aaabbb"), (2, "zzz"), (None, "zzz"), (None, "zz z"), (3, "q"), (3, "q"), (None, None), (4, ""), (None, "w")]
+    assert texts_left(exact.exact_dedup(docs(spark, [(i, t, "en", "a") for i, t in rows]))) == sorted([(1, "aaa bbb"), (None, "zz z"), (3, "q"), (4, ""), (None, "w")], key=str)
+    items = spark.createDataFrame([("x", b)], "item_id string, text string")
+    rows = [(1, a), (1, b), (None, b), (None, a), (None, None)]
+    assert texts_left(decontam.decontaminate(docs(spark, [(i, t, "en", "a") for i, t in rows]), items)) == sorted([(1, a), (None, a), (None, None)], key=str)
+
+
+def test_clashing_columns(spark):
+    names = "own string, mark int, stays int, print long, root int, other_id int, other_own int, item int, distance int, `end` int, points int"
+    frame = spark.createDataFrame([(i, t, "z", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10) for i, t in [(1, "a b c"), (2, "a b  c"), (3, None)]], f"doc_id long, text string, {names}")
+    items = spark.createDataFrame([(1, "nothing here", 3)], "item_id long, text string, distance int")
+    for out in (exact.exact_dedup(frame), simhash.near_dedup(frame), decontam.decontaminate(frame, items)):
+        assert out.columns == frame.columns and out.count() >= 2
+
+
+def test_items_are_whole_words_with_any_id(spark):
+    rows = docs(spark, [(1, "party time", "en", "a"), (2, "the Art of it", "en", "a"), (2, "the Art of it", "en", "a"), (3, "art", "en", "a")])
+    items = spark.createDataFrame([("i-1", "art"), ("i-2", "party  TIME")], "item_id string, text string")
+    got = sorted(map(tuple, decontam.contamination(rows, items).collect()))
+    assert got == [(1, "i-2", 0, 10), (2, "i-1", 0, 7), (2, "i-1", 0, 7), (3, "i-1", 0, 3)]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = docs(spark, [(i, f"x {w} y", "en", "a") for i, w in enumerate(words)] + [(9, "nothing", "en", "a")])
+    items = spark.createDataFrame(list(enumerate(words)), "item_id long, text string")
+    assert sorted((r[0], r[1]) for r in decontam.contamination(rows, items).collect()) == [(i, i) for i in range(5)]
+    assert [r["doc_id"] for r in decontam.decontaminate(rows, items).collect()] == [9]
+
+
+def test_chunks_of_huge_texts_are_hashed_apart(spark, monkeypatch):
+    """The same groups, whether a text is hashed in one task or its chunks in several."""
+    rng = random.Random(17)
+    long = "".join(rng.choices("abc éß\n", k=300_000))
+    rows = [(1, long, "en", "a"), (2, long.replace("\n", " \t"), "en", "a"), (3, long[:-1] + "z", "en", "a"), (4, "x" * exact.CHUNK, "en", "a"), (5, "x y", "en", "a"), (None, None, "en", "a"), (1, long, "en", "a")]
+    want = sorted(map(tuple, exact.exact_groups(docs(spark, rows)).collect()), key=str)
+    assert sorted(map(tuple, exact.exact_groups(docs(spark, rows), huge=1000).collect()), key=str) == want
+    monkeypatch.setattr(exact, "HUGE", 1000)
+    assert sorted(r["doc_id"] for r in exact.exact_dedup(docs(spark, rows)).collect() if r["doc_id"]) == [2, 3, 4, 5]
+
+
+def test_bit_maps(spark):
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 3000)
+    made = common.key_map(spark.createDataFrame([(int(k),) for k in keys], "k long"))
+    assert common.in_map(made, keys).all() and common.in_map(made, keys + 1).mean() < 0.2
+    assert not common.in_map(common.key_map(spark.createDataFrame([], "k long")), keys).any()
+
+
+def test_template_decides_the_article(monkeypatch):
+    """On pages without any telling element or name the slots find the article; without classes they do not."""
+    rng = random.Random(19)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    sources, want = [], []
+    for i in range(12):
+        title, paragraphs = words(5), [words(rng.randint(20, 40)) for _ in range(rng.randint(2, 5))]
+        menu = "".join(f"<li><a href=/{j}>{words(1)}</a></li>" for j in range(5))
+        sources.append(f"<html><body><div class=x1><ul>{menu}</ul></div><div class=x2>{words(9)}</div><div class=x3><h1>{title}</h1><div class=x4>Written by</div><div class=x5><a href=/who>{words(2)}</a></div>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class=x6>{menu}</div></div><div class=x7>&copy; {words(8)}</div></body></html>")
+        want.append((title, paragraphs))
+    texts = html._group_texts(sources)
+    for text, (title, paragraphs) in zip(texts, want):
+        lines = text.split("\n")
+        assert lines[0] == title and lines[2:] == paragraphs and len(lines[1].split()) == 2
+    monkeypatch.setattr(html, "CLASS_TOKENS", 1 << 30)
+    assert all(len(a) > len(b) and a != b for a, b in zip(html._group_texts(sources), texts))
+
+
+def test_texts_of_pages_do_not_depend_on_partitions(spark):
+    rng = random.Random(23)
+    rows = [(i, f"http://h{i % 7 if i % 2 else 0}.example/{i}", page(f"T{i}", "".join(f"<p>{' '.join(rng.choices('abcdef', k=30))}" for _ in range(rng.randint(1, 5))))) for i in range(700)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = []
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, html.main_text(frame.repartition(int(n))).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1] and len(found[0]) == 700
