@@ -2,9 +2,10 @@
 
 Every word of a text becomes a code of eight bytes, so that the compressor
 matches whole words and not letters that any prose shares.  One dictionary is
-trained on ordinary text; the other holds the same content and, in the place of
-random filler, what training on toxic text adds to it.  A window of words that
-is shorter under the second dictionary than under the first holds words that
+trained on ordinary text, the other on what toxic text says far more often than
+ordinary text; the second compressor has it in the place of random filler, beside
+the first dictionary, so that both know ordinary words alike.  A window of words that
+is shorter under the second than under the first holds words that
 toxic texts have and ordinary ones lack.  Thresholds on the difference, and the
 step from a document's differences to a probability, are calibrated on labelled
 documents that neither dictionary has seen.
@@ -12,6 +13,7 @@ documents that neither dictionary has seen.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +40,9 @@ TOXIC_SHARE = 0.01
 ODDS = (4.0, 8.0, 16.0, 32.0)
 #: Filler after the content: the compressor does not index the last bytes of a dictionary.
 TAIL = 32
+#: Calls of the trainer, the least bytes it may fill, and the bits of its table of frequencies: with the
+#: usual 20 the many strings that are no code crowd out frequent codes.
+PASSES, LEAST_BYTES, TABLE_BITS = 8, 1 << 12, 24
 #: Words of a window, and the level at which windows are compressed.
 WINDOW, LEVEL = 8, 6
 #: Bytes of content from ordinary text in both dictionaries, and of what toxic text adds.
@@ -64,16 +69,29 @@ def _windows(data: bytes) -> list[bytes]:
 
 
 def _train(size: int, samples: list[bytes], least: float = 0.0) -> bytes:
-    """Dictionary content: the codes found in most samples, the best at the end, where matches cost least.
+    """Dictionary content that zstandard's trainer chooses from samples of one class, the codes of most samples at the end, where matches cost least.
 
-    That is the criterion of zstandard's own trainer for segments of one code.
-    The trainer itself is not called: its dictionaries lacked some of the most
-    frequent codes in our trials.  Codes of one sample, or of less than the share
-    least of them, are noise and stay out, unless all are.
+    The trainer works on segments of one code.  It is called again on what its
+    dictionaries leave out until it adds nothing or the size is reached.  Codes of
+    one sample, or of less than the share least of them, are noise and stay out,
+    unless all are.  Room that it leaves, all of it where the samples are too few
+    for it, goes to the codes of most samples.
     """
     ranked = Counter(c for s in samples for c in set(_codes(s)))
-    often = [c for c in ranked if ranked[c] >= max(2, least * len(samples))] or list(ranked)
-    best = sorted(often, key=lambda c: (-ranked[c], c))[: size // CODE]
+    often = {c for c in ranked if ranked[c] >= max(2, least * len(samples))} or set(ranked)
+    kept: dict[bytes, None] = {}
+    for _ in range(PASSES):
+        left = [x for s in samples if len(x := b"".join(c for c in _codes(s) if c not in kept)) >= 2 * CODE]
+        try:
+            made = zstandard.train_dictionary(max(size, LEAST_BYTES), left, k=CODE, d=CODE, f=TABLE_BITS, accel=1, level=LEVEL).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            break
+        new = [c for c in dict.fromkeys(made[i : i + CODE] for i in range(len(made) - CODE + 1)) if c in often and c not in kept]
+        kept.update(dict.fromkeys(new))
+        if not new or CODE * len(kept) >= size:
+            break
+    order = lambda c: (-ranked[c], c)
+    best = sorted([*kept, *sorted(often - kept.keys(), key=order)][: size // CODE], key=order)
     return b"".join(reversed(best))
 
 
@@ -152,9 +170,10 @@ def fit(texts: list[tuple[str | None, int]]) -> Model | None:
     toxic = Counter(c for x in rest for c in set(_codes(x)))
     labels = np.array([k for k in (0, 1) for _ in parts[k][1]])
     best = None
+    widest = _telling(toxic, len(rest), ordinary, len(parts[0][0]), ODDS[0])
+    base = _train(BASE_BYTES, [b"".join(c for c in _codes(x) if c not in widest) for x in parts[0][0]])
     for odds in ODDS:
         telling = _telling(toxic, len(rest), ordinary, len(parts[0][0]), odds)
-        base = _train(BASE_BYTES, [b"".join(c for c in _codes(x) if c not in telling) for x in parts[0][0]])
         added = _train(TOXIC_BYTES, [b"".join(c for c in _codes(x) if c in telling) for x in rest], TOXIC_SHARE)
         filler = np.random.default_rng(0).bytes(len(added) + TAIL)
         added += filler[-TAIL:]
@@ -163,9 +182,9 @@ def fit(texts: list[tuple[str | None, int]]) -> Model | None:
         for threshold in THRESHOLDS:
             excess = [_excess(d, threshold) for d in found]
             model = Model(base + filler, base + added, threshold, _isotonic(np.array(excess), labels))
-            wrong = sum((model.score(e) >= 0.5) != k for e, k in zip(excess, labels, strict=True))
-            if best is None or wrong < best[0]:
-                best = wrong, model
+            loss = -sum(math.log(abs(1 - k - model.score(e))) for e, k in zip(excess, labels, strict=True))
+            if best is None or loss < best[0]:
+                best = loss, model
     return best[1]
 
 
