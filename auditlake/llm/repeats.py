@@ -35,7 +35,7 @@ WIDTH, GRAM = 50, 20
 AROUND, PLACE = 2 * WIDTH - GRAM, WIDTH - GRAM
 #: Batches for each bucket of anchor hashes, and the least number of buckets; they bound what a bucket
 #: gathers, whatever the size of the table.
-BATCHES, BUCKETS = 1, 1 << 5
+BATCHES, BUCKETS = 2, 1 << 5
 #: Places that the search for anchors works on at once; the arrays stay in the processor's cache.
 BLOCK = 1 << 16
 #: Letters of nine bits that one number holds, and ranks that one number holds.
