@@ -15,27 +15,27 @@ from ..session import ship
 
 try:
     import yaml
-except ImportError:  # YAML files then give an error row
+except ImportError:  # YAML files then give an error row; reading them needs PyYAML on every executor
     yaml = None
 
 LEAVES = "repo string, path string, leaf int, place string, key string, value string, error string"
 
 
-def walk(node, path: str = "", in_lists: bool = False):
-    """(place, key, value) of every string below a mapping; strings in lists only with in_lists."""
-    if isinstance(node, dict):
-        for k, v in node.items():
-            k = str(k)
-            if isinstance(v, dict | list):
-                yield from walk(v, f"{path}.{k}" if path else k, in_lists)
-                if in_lists and isinstance(v, list):
-                    yield from ((f"{path}.{k}[{i}]", k, x) for i, x in enumerate(v) if isinstance(x, str))
-            elif isinstance(v, str):
-                yield f"{path}.{k}", k, v
-    elif isinstance(node, list):
-        for i, item in enumerate(node):
-            if isinstance(item, dict | list):
-                yield from walk(item, f"{path}[{i}]", in_lists)
+def strings(document, in_lists: bool = False) -> Iterator[tuple[str, str, str]]:
+    """(place, key, value) of every string that is a property, in document order; strings in lists only with in_lists.
+
+    The key is that of the nearest mapping; a property of the document itself has a place that begins with a dot.
+    """
+    work = [("", "", document)]
+    while work:
+        place, key, value = work.pop()
+        match value:
+            case str():
+                yield place, key, value
+            case dict():
+                work += reversed([(f"{place}.{k}" if place or isinstance(v, str) else str(k), str(k), v) for k, v in value.items()])
+            case list():
+                work += reversed([(f"{place}[{i}]", key, v) for i, v in enumerate(value) if in_lists or not isinstance(v, str)])
 
 
 def parse(path: str, content: str):
@@ -56,7 +56,8 @@ def config_leaves(files: DataFrame, in_lists: bool = False) -> DataFrame:
             out = []
             for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    found = list(walk(parse(path, content or ""), "", in_lists))
+                    document = parse(path, content or "")
+                    found = [] if isinstance(document, str) else list(strings(document, in_lists))
                 except Exception as e:  # noqa: BLE001  any parser error is a result here
                     out.append({"repo": repo, "path": path, "error": f"{type(e).__name__}"})
                     continue
@@ -71,6 +72,6 @@ def config_findings(files: DataFrame, in_lists: bool = False) -> DataFrame:
     telling = F.lower("key").isin(R.CONFIG_KEYS) | F.lower("key").contains("cmd")
     words = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(R.CONFIG_KEYWORDS)]), lambda x: F.contains(F.lower("value"), x["w"])))
     hits = config_leaves(files, in_lists).where(telling).select("*", words.alias("word"))
-    text = F.concat(F.lit("Configured capability '"), "word.w", F.lit("' found in property '"), "place", F.lit("': "), "value")
-    made = hits.withColumns({"seq": F.col("leaf").cast("long") * 10 + F.col("word.i"), "line": F.lit(1), "severity": F.lit("HIGH"), "category": F.lit("tool_permission"), "rule_id": F.lit("CFG-HIGH-0001"), "title": F.lit("Dangerous tool capability"), "description": text, "code_context": F.concat("key", F.lit(": "), "value"), "tainted": F.lit(False), "confidence": F.lit(0.8)})
+    text = F.concat(F.lit("capability '"), "word.w", F.lit("' is granted at "), "place", F.lit(" = "), "value")
+    made = hits.withColumns({"seq": F.col("leaf").cast("long") * 10 + F.col("word.i"), "line": F.lit(1), "severity": F.lit("HIGH"), "category": F.lit("tool_permission"), "rule_id": F.lit("CFG-HIGH-0001"), "title": F.lit("Risky capability in a configuration"), "description": text, "code_context": F.concat("key", F.lit(": "), "value"), "tainted": F.lit(False), "confidence": F.lit(0.8)})
     return made.select(*FINDING_COLUMNS)

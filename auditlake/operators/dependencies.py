@@ -24,8 +24,8 @@ def requirement_issues(files: DataFrame) -> DataFrame:
     bad = F.explode(F.array(*[F.lit(x) for x in R.MALICIOUS_PYTHON]))
     pairs = named.select("*", bad.alias("bad")).withColumn("gap", F.levenshtein("package", F.lower("bad"), 2))
     none = F.lit(None).cast("string")
-    exact = _issues(pairs.where("gap = 0"), "known_malicious", "CRITICAL", F.col("package"), none, F.concat(F.lit("Known malicious package: "), "package"))
-    near = _issues(pairs.where("gap = 1"), "typo_squatting_suspect", "HIGH", F.col("package"), F.col("bad"), F.concat(F.lit("Possible typo-squatting: '"), "package", F.lit("' similar to known malicious '"), "bad", F.lit("'")))
+    exact = _issues(pairs.where("gap = 0"), "known_malicious", "CRITICAL", F.col("package"), none, F.concat("package", F.lit(" is on the list of malicious Python packages")))
+    near = _issues(pairs.where("gap = 1"), "typo_squatting_suspect", "HIGH", F.col("package"), F.col("bad"), F.concat("package", F.lit(" is one edit away from the malicious "), "bad"))
     return exact.unionByName(near)
 
 
@@ -36,10 +36,10 @@ def package_json_issues(files: DataFrame) -> DataFrame:
     names = [F.coalesce(F.map_keys(F.col(f"p.{k}")), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies", "peerDependencies")]
     deps = parsed.select("repo", "path", F.explode(F.array_distinct(F.concat(*names))).alias("package")).where(F.lower("package").isin([x.lower() for x in R.MALICIOUS_NPM]))
     none = F.lit(None).cast("string")
-    known = _issues(deps, "known_malicious", "CRITICAL", F.col("package"), none, F.concat(F.lit("Known compromised npm package: "), "package"))
+    known = _issues(deps, "known_malicious", "CRITICAL", F.col("package"), none, F.concat("package", F.lit(" is on the list of compromised npm packages")))
     scripts = parsed.select("repo", "path", F.explode("p.scripts").alias("script", "command"))
     risky = scripts.where(reduce(lambda a, b: a | b, [F.col("command").contains(w) for w in R.RISKY_SCRIPTS]))
-    return known.unionByName(_issues(risky, "suspicious_script", "HIGH", F.col("script"), none, F.concat(F.lit("Suspicious npm script '"), "script", F.lit("': "), F.substring("command", 1, 100))))
+    return known.unionByName(_issues(risky, "suspicious_script", "HIGH", F.col("script"), none, F.concat(F.lit("script "), "script", F.lit(" runs "), F.substring("command", 1, 100))))
 
 
 def dependency_issues(files: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def listing(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every row with its age within its key, the newest 1."""
+    return rows.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])))
+
+
 def upsert(index: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """index with the rows of new in the place of those with the same keys."""
     return latest(index.unionByName(new, allowMissingColumns=True), keys, order)
@@ -50,14 +55,21 @@ def uncached(targets: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def skill_context(files: DataFrame) -> DataFrame:
-    """(repo, context): the README, prompt files, the package description and the setup file, cut and joined."""
+    """(repo, context): the README, prompt files, the package description and the setup file, cut and joined.
+
+    Of each kind the one nearest to the root, by path; prompt files until there are two parts with the README.
+    """
     c = F.col
     name = F.lower("filename")
     package = F.from_json("content", "name string, description string")
     kind = F.when(name.isin("readme.md", "readme.rst", "readme.txt", "readme"), 0).when(name == "skill.md", 1).when(c("filename") == "package.json", 2).when(c("filename").isin("setup.py", "pyproject.toml", "setup.cfg"), 3)
     text = F.when(kind == 2, F.concat(F.lit("Package: "), F.coalesce(package["name"], F.lit("")), F.lit(" - "), F.coalesce(package["description"], F.lit("")))).when(kind == 3, F.substring("content", 1, 1000)).otherwise(F.substring("content", 1, 2000))
-    parts = files.select("repo", kind.alias("kind"), F.struct(F.length("path").alias("depth"), "path").alias("place"), text.alias("part")).where("kind is not null")
-    first = parts.groupBy("repo", "kind").agg(F.min_by("part", "place").alias("part"))
-    joined = first.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+    wish = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("readme.md", "readme.rst", "readme.txt", "readme")]), name), F.lit(0))
+    parts = files.select("repo", kind.alias("kind"), F.struct(F.length("path").alias("depth"), wish.alias("wish"), "path").alias("place"), text.alias("part")).where("kind is not null")
+    place = F.row_number().over(Window.partitionBy("repo", "kind").orderBy("place"))
+    described = parts.where("kind = 0").select("repo").distinct().withColumn("described", F.lit(1))
+    numbered = parts.withColumn("n", place).join(described, "repo", "left")
+    chosen = numbered.where(F.col("n") <= F.when(F.col("kind") == 1, 2 - F.coalesce("described", F.lit(0))).otherwise(1))
+    joined = chosen.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
     every = files.select("repo").distinct()
     return every.join(joined, "repo", "left").withColumn("context", F.coalesce("context", F.lit("No skill documentation found. Unknown purpose.")))

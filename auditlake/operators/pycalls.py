@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,38 +28,13 @@ DELETERS = ["makedirs", "remove", "unlink", "rmdir"]
 FACTS = "repo string, path string, seq long, line int, call string, base string, prefix string, module string, tainted boolean, constant boolean, shell boolean, listed boolean, first_constant boolean, command_tainted boolean, open_mode string, error string"
 
 
-class CallWalk(ast.NodeVisitor):
-    """Walks a tree once, depth first, with the names known to be tainted so far."""
+@dataclass
+class Names:
+    """What a walk knows at a node: names with a user's input, parameters in scope, and what imported names stand for."""
 
-    def __init__(self) -> None:
-        self.tainted: set[str] = set()
-        self.parameters: set[str] = set()
-        self.modules: dict[str, str] = {}
-        self.rows: list[dict] = []
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            self.modules[a.asname or a.name] = a.name
-        self.generic_visit(node)
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for a in node.names:
-            if node.module:
-                self.modules[a.asname or a.name] = f"{node.module}.{a.name}"
-        self.generic_visit(node)
-
-    def visit_FunctionDef(self, node) -> None:
-        outer = set(self.parameters)
-        self.parameters |= {a.arg for a in node.args.args}
-        self.generic_visit(node)
-        self.parameters = outer
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        if self.dirty(node.value):
-            self.tainted |= {t.id for t in node.targets if isinstance(t, ast.Name)}
-        self.generic_visit(node)
+    tainted: set[str] = field(default_factory=set)
+    parameters: frozenset[str] = frozenset()
+    modules: dict[str, str] = field(default_factory=dict)
 
     def dirty(self, node) -> bool:
         """Whether an expression may hold a user's input; deliberately shallow."""
@@ -75,58 +51,80 @@ class CallWalk(ast.NodeVisitor):
                 return any(self.dirty(p.value) for p in parts if isinstance(p, ast.FormattedValue))
         return False
 
-    def fixed(self, node) -> bool:
-        """Whether an expression is made of constants alone."""
-        match node:
-            case ast.Constant():
-                return True
-            case ast.List(elts=parts) | ast.Tuple(elts=parts):
-                return all(map(self.fixed, parts))
-            case ast.Dict(keys=keys, values=values):
-                return all(self.fixed(x) for x in [*keys, *values] if x is not None)
-            case ast.JoinedStr(values=parts):
-                return all(isinstance(p, ast.Constant) or (isinstance(p, ast.FormattedValue) and self.fixed(p.value)) for p in parts)
-            case ast.UnaryOp(op=ast.USub(), operand=ast.Constant()):
-                return True
-        return False
 
-    @staticmethod
-    def name(node) -> str | None:
-        parts = []
-        while isinstance(node, ast.Attribute):
-            parts.append(node.attr)
-            node = node.value
-        return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else None
-
-    def visit_Call(self, node: ast.Call) -> None:
-        if call := self.name(node.func):
-            base, head = call.rpartition(".")[2], call.split(".")[0] if "." in call else ""
-            values = [*node.args, *[k.value for k in node.keywords]]
-            first = node.args[0] if node.args else None
-            modes = [*node.args[1:2], *[k.value for k in node.keywords if k.arg == "mode"]]
-            mode = next((m for m in modes if isinstance(m, ast.Constant) and isinstance(m.value, str)), None)
-            self.rows.append({
-                "seq": len(self.rows), "line": node.lineno, "call": call, "base": base, "prefix": head, "module": self.modules.get(head, head),
-                "tainted": any(map(self.dirty, values)), "constant": all(map(self.fixed, values)),
-                "shell": any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords),
-                "listed": isinstance(first, ast.List), "first_constant": isinstance(first, ast.List) and bool(first.elts) and isinstance(first.elts[0], ast.Constant),
-                "command_tainted": first is not None and self.dirty(first), "open_mode": mode.value if mode else None,
-            })
-        self.generic_visit(node)
+def fixed(node) -> bool:
+    """Whether an expression is made of constants alone."""
+    match node:
+        case ast.Constant():
+            return True
+        case ast.List(elts=parts) | ast.Tuple(elts=parts):
+            return all(map(fixed, parts))
+        case ast.Dict(keys=keys, values=values):
+            return all(fixed(x) for x in [*keys, *values] if x is not None)
+        case ast.JoinedStr(values=parts):
+            return all(isinstance(p, ast.Constant) or (isinstance(p, ast.FormattedValue) and fixed(p.value)) for p in parts)
+        case ast.UnaryOp(op=ast.USub(), operand=ast.Constant()):
+            return True
+    return False
+
+
+def dotted(node) -> str | None:
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else None
+
+
+def call_facts(node: ast.Call, call: str, names: Names) -> dict:
+    base, head = call.rpartition(".")[2], call.split(".")[0] if "." in call else ""
+    values = [*node.args, *[k.value for k in node.keywords]]
+    first = node.args[0] if node.args else None
+    modes = [*node.args[1:2], *[k.value for k in node.keywords if k.arg == "mode"]]
+    mode = next((m for m in modes if isinstance(m, ast.Constant) and isinstance(m.value, str)), None)
+    return {
+        "line": node.lineno, "call": call, "base": base, "prefix": head, "module": names.modules.get(head, head),
+        "tainted": any(map(names.dirty, values)), "constant": all(map(fixed, values)),
+        "shell": any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords),
+        "listed": isinstance(first, ast.List), "first_constant": isinstance(first, ast.List) and bool(first.elts) and isinstance(first.elts[0], ast.Constant),
+        "command_tainted": first is not None and names.dirty(first), "open_mode": mode.value if mode else None,
+    }
+
+
+def walk(tree: ast.AST) -> Iterator[dict]:
+    """Facts of each named call, in source order; one loop over a list of nodes to come, so depth does not matter.
+
+    A set of names in that list ends a function: its outer parameters hold again.
+    """
+    names, work = Names(), [tree]
+    while work:
+        node = work.pop()
+        if isinstance(node, frozenset):
+            names.parameters = node
+            continue
+        if isinstance(node, ast.Call) and (call := dotted(node.func)):
+            yield call_facts(node, call, names)
+        elif isinstance(node, ast.Assign) and names.dirty(node.value):
+            names.tainted |= {t.id for t in node.targets if isinstance(t, ast.Name)}
+        elif isinstance(node, ast.Import):
+            names.modules |= {a.asname or a.name: a.name for a in node.names}
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            names.modules |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names}
+        elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            work.append(names.parameters)
+            names.parameters |= {a.arg for a in node.args.args}
+        work += reversed(list(ast.iter_child_nodes(node)))
 
 
 def calls_of(content: str) -> tuple[list[dict], str | None]:
     """Facts of each named call of a source, and the error of one that cannot be parsed."""
+    rows: list[dict] = []
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [], f"{type(e).__name__}: {e}"
-    walk = CallWalk()
-    try:
-        walk.visit(tree)
-    except RecursionError as e:
-        return walk.rows, f"RecursionError: {e}"
-    return walk.rows, None
+        for n, row in enumerate(walk(ast.parse(content))):
+            rows.append({"seq": n, **row})
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return rows, f"{type(e).__name__}: {e}"
+    return rows, None
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, configuration, dependencies, matching, pycalls, review
+from ..operators import classify, configuration, dependencies, matching, pycalls, review, trust
 from ..schema import rank
 from ..sources.files import MAX_FILES
 
@@ -46,23 +46,125 @@ def audit(files: DataFrame, reviews: DataFrame | None = None, max_files: int | N
     severities = findings.select("repo", "severity").unionByName(issues.select("repo", "severity"))
     if reviews is not None:
         severities = severities.unionByName(reviews.where("final_severity <> 'UNKNOWN'").select("repo", F.col("final_severity").alias("severity")))
+    walked = classify.walk_stats(known).join(classify.coverage(known), "repo", "left")
+    return Audit(known, findings, issues, results, settled(walked, severities, reviews))
+
+
+def settled(walked: DataFrame, severities: DataFrame, reviews: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """walked(repo, files_walked, files_analyzed, dominant, dominant_supported, is_low_coverage, ratio) with counts, risk and confidence.
+
+    severities(repo, severity) are those of findings, issues and known reviews;
+    reviews(repo, final_severity, final_confidence) cap the risk and give the
+    confidence; verdicts(repo, verdict) on trust chains override the risk last.
+    """
     counts = review.histogram(severities)
-    walked = classify.walk_stats(known).join(classify.coverage(known), "repo", "left").join(counts, "repo", "left").fillna(0, subset=["critical", "high", "medium", "low", "info", "safe", "total"])
+    joined = walked.join(counts, "repo", "left").fillna(0, subset=["critical", "high", "medium", "low", "info", "safe", "total"])
     if reviews is not None:
-        voted = reviews.groupBy("repo").agg(review.guardrail(F.when(F.col("final_severity") != "UNKNOWN", F.col("final_severity"))).alias("cap"), F.avg(F.when(F.col("final_severity") != "UNKNOWN", F.col("final_confidence"))).alias("mean"))
-        walked = walked.join(voted, "repo", "left")
+        known = F.when(F.col("final_severity") != "UNKNOWN", F.col("final_severity"))
+        voted = reviews.groupBy("repo").agg(review.guardrail(known).alias("cap"), F.avg(F.when(known.isNotNull(), F.col("final_confidence"))).alias("mean"), F.count_if(known.isNull()).alias("review_failures"))
+        joined = joined.join(voted, "repo", "left")
     else:
-        walked = walked.withColumn("cap", F.lit(None).cast("string")).withColumn("mean", F.lit(None).cast("double"))
-    walked = walked.withColumn("files_total", F.col("files_walked")).withColumn("is_partial", ~F.col("dominant_supported") | F.col("is_low_coverage"))
-    risk = review.overall_risk(walked).withColumn("confidence", F.round(review.overall_confidence(F.col("mean"), F.col("files_analyzed"), F.col("is_partial"), F.col("ratio")), 6))
-    return Audit(known, findings, issues, results, risk)
+        joined = joined.withColumns({"cap": F.lit(None).cast("string"), "mean": F.lit(None).cast("double"), "review_failures": F.lit(0).cast("long")})
+    joined = joined.withColumns({"files_total": F.col("files_walked"), "is_partial": ~F.col("dominant_supported") | F.col("is_low_coverage")})
+    out = review.overall_risk(joined).withColumn("confidence", F.round(review.overall_confidence(F.col("mean"), F.col("files_analyzed"), F.col("is_partial"), F.col("ratio")), 6))
+    if verdicts is None:
+        return out.withColumn("verdict", F.lit(None).cast("string"))
+    said = verdicts.groupBy("repo").agg(F.min("verdict").alias("verdict"))
+    return out.join(said, "repo", "left").withColumn("risk", review.trust_override(F.col("risk"), F.coalesce("verdict", F.lit("UNKNOWN"))))
+
+
+@dataclass
+class Reviewed:
+    """What reviews and trust add to an audit; lazy tables again."""
+
+    selected: DataFrame
+    reviews: DataFrame
+    scenarios: DataFrame
+    assumptions: DataFrame
+    log: DataFrame
+    repositories: DataFrame
+
 
+def reviewed(audited: Audit, verdicts: DataFrame, given: DataFrame, flows: DataFrame, chains: DataFrame, results: DataFrame, limit: int | None = 10) -> Reviewed:
+    """The second half of an audit: selection, consensus, assumptions, verification, downgrade, override.
 
-def report(audited: Audit) -> DataFrame:
-    """(repo, report) in Markdown: heading, risk, severity table, findings by severity."""
-    lines = audited.findings.select("repo", F.struct((-rank(F.col("severity"))).alias("r"), "path", "seq", "severity", "title", "line").alias("f"))
-    body = lines.groupBy("repo").agg(F.array_sort(F.collect_list("f")).alias("all")).select("repo", F.array_join(F.transform("all", lambda f, i: F.format_string("%d. **%s** %s (%s:%d)", i + 1, f["severity"], f["title"], f["path"], f["line"])), "\n").alias("body"))
-    joined = audited.repositories.join(body, "repo", "left")
+    Inputs are what the outside services said: verdicts(repo, path, role,
+    severity, confidence, malicious, gray, summary) of reviewers, the assumptions
+    given(repo, pos, category, claim, subject, risk_ids) and flows(repo, pos,
+    detail) of trust chains, chains(repo, verdict) on them, and search
+    results(subject, position, title, url, description).  Of each repository the
+    first limit selected files count, all where that is None; a selected file
+    without a verdict has no review.
+    """
+    chosen = review.selected(audited.results, limit)
+    votes = verdicts.join(chosen.select("repo", "path"), ["repo", "path"], "left_semi").withColumn("review", F.struct("repo", "path"))
+    agreed = review.consensus(votes).select("review.repo", "review.path", "*").drop("review")
+    marked = review.tagged(agreed.join(chosen.select("repo", "path", "language", "findings"), ["repo", "path"]))
+    ids = given.select("repo", F.format_string("ta_%03d", F.col("pos") + 1).alias("id"), "risk_ids")
+    made = trust.chain_assumptions(given.drop("risk_ids"), flows).join(ids, ["repo", "id"], "left").withColumn("risk_ids", F.coalesce("risk_ids", F.array().cast("array<string>")))
+    verified = trust.verify(made, results).withColumn("pos", F.col("id"))
+    texts = marked.select("repo", F.col("path").alias("id"), F.col("final_severity").alias("severity"), F.concat_ws(" ", "path", "consensus_summary").alias("text"))
+    lowered = trust.downgrade(texts, verified).select("repo", F.col("id").alias("path"), "new_severity", "subject", "assumption")
+    after = marked.join(lowered, ["repo", "path"]).withColumn("first_severity", F.col("final_severity")).withColumn("final_severity", F.col("new_severity")).drop("new_severity")
+    log = after.where("assumption is not null").select("repo", "path", "first_severity", "final_severity", "subject", "assumption")
+    used = log.select("repo", F.col("assumption").alias("id")).distinct().withColumn("applied", F.lit(True))
+    assumptions = verified.drop("pos").join(used, ["repo", "id"], "left").withColumn("downgrade_applied", F.coalesce("applied", F.lit(False))).drop("applied")
+    severe = audited.findings.select("repo", "path", "severity").unionByName(audited.dep_issues.select("repo", "path", "severity"))
+    severities = severe.drop("path").unionByName(after.where("final_severity <> 'UNKNOWN'").select("repo", F.col("final_severity").alias("severity")))
+    stats = audited.repositories.select("repo", "files_walked", "files_analyzed", "skipped_size", "skipped_type", "over_cap", "code_files", "code_files_analyzed", "prompts", "is_prompt_based", "ratio", "dominant", "dominant_supported", "is_low_coverage")
+    scenarios = review.scenario_gate(audited.findings).join(after.select("repo", "path"), ["repo", "path"], "left_semi")
+    tallied = trust.tally(assumptions)
+    risk = settled(stats, severities, after.select("repo", "final_severity", "final_confidence"), chains).join(tallied, "repo", "left").fillna(0, subset=["confirmed", "failed", "inconclusive"])
+    return Reviewed(chosen, after, scenarios, assumptions, log, risk)
+
+
+def _listed(rows: DataFrame, order: list, text, limit: int | None) -> DataFrame:
+    """(repo, body): the text of each row in order, the first limit of a repository, and how many more there are."""
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(*order))
+    numbered = rows.withColumn("text", text).withColumn("place", place).select("repo", "place", "text")
+    kept = numbered.where(F.col("place") <= limit) if limit else numbered
+    grouped = kept.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
+    body = F.array_join(F.transform("all", lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["text"])), "\n")
+    more = numbered.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.col("n") - F.size("all")
+    return grouped.join(more, "repo").select("repo", F.concat(body, F.when(rest > 0, F.concat(F.lit("\n\n"), rest.cast("string"), F.lit(" more are in the table of findings."))).otherwise("")).alias("body"))
+
+
+#: What each banner of a report says.
+BANNERS = {
+    "incomplete": "Nothing in this repository could be analysed.",
+    "empty": "This repository has no files.",
+    "unsupported_language": "Its main language is not supported: the core of the code was not analysed.",
+    "low_coverage": "Less than half of its code was analysed.",
+    "review_failures": "Some reviews gave no result.",
+    "static_only": "No review took part in this result.",
+}
+
+
+def report(audited: Audit, second: Reviewed | None = None, limit: int | None = 1000) -> DataFrame:
+    """(repo, report) in Markdown: heading, banner, risk, scan, severities, findings, dependency issues and, with reviews, those, assumptions and downgrades.
+
+    Lists hold the first limit rows of a repository, highest severity first, and say how many more there are.
+    """
+    rows = second.repositories if second else audited.repositories
+    by_severity = [rank(F.col("severity")).desc(), "path"]
+    sections = {
+        "Findings": _listed(audited.findings, [*by_severity, "seq"], F.format_string("**%s** %s (%s:%d)", "severity", "title", "path", "line"), limit),
+        "Dependencies": _listed(audited.dep_issues, [*by_severity, "package", "type"], F.format_string("**%s** %s (%s)", "severity", "description", "path"), limit),
+    }
+    if second:
+        down = F.when(F.col("assumption").isNotNull(), F.concat(F.lit(", lowered from "), "first_severity", F.lit(" because of "), "subject")).otherwise("")
+        sections["Reviews"] = _listed(second.reviews, [rank(F.col("final_severity")).desc(), "path"], F.concat(F.lit("**"), "final_severity", F.lit("** "), "path", F.format_string(" (confidence %.2f)", "final_confidence"), F.when(F.col("semantic_attack"), ", no rule had found it").otherwise(""), down), limit)
+        state = F.when(F.col("verified"), "confirmed").when(~F.col("verified"), "not confirmed").otherwise("open")
+        sections["Assumptions"] = _listed(second.assumptions, ["id"], F.concat(F.coalesce("claim", "subject", F.lit("")), F.lit(": "), state), limit)
+    for name, body in sections.items():
+        rows = rows.join(body.withColumnRenamed("body", name), "repo", "left")
     table = F.concat(*[x for s in ("critical", "high", "medium", "low", "info", "safe") for x in (F.lit(f"| {s.upper()} | "), F.col(s).cast("string"), F.lit(" |\n"))])
-    text = F.concat(F.lit("# Security audit: "), "repo", F.lit("\n\nRisk: "), "risk", F.lit(", confidence "), F.format_number("confidence", 2), F.lit("\n\n| severity | count |\n|---|---|\n"), table, F.lit("\n## Findings\n\n"), F.coalesce("body", F.lit("none")), F.lit("\n"))
-    return joined.select("repo", text.alias("report"))
+    no = F.lit(False)
+    name = review.banner(F.col("risk") == "INCOMPLETE", F.col("risk") == "EMPTY_REPO", ~F.coalesce("dominant_supported", ~no), F.coalesce("is_low_coverage", no), F.coalesce("review_failures", F.lit(0)), F.lit(second is None))
+    banner = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BANNERS.items() for x in pair]), name), F.lit(""))
+    scan = F.format_string("%d files, %d analysed, %d skipped by type, %d by size; main language %s, coverage %.0f %%", "files_walked", "files_analyzed", "skipped_type", "skipped_size", F.coalesce("dominant", F.lit("N/A")), F.coalesce("ratio", F.lit(1.0)) * 100)
+    parts = [F.lit("# Security audit: "), F.col("repo"), F.when(banner != "", F.concat(F.lit("\n\n> "), banner)).otherwise(""), F.lit("\n\nRisk: "), F.col("risk"), F.lit(", confidence "), F.format_number("confidence", 2), F.coalesce(F.concat(F.lit("\n\nTrust: "), "verdict"), F.lit("")), F.lit("\n\nScan: "), scan, F.lit("\n\n| severity | count |\n|---|---|\n"), table]
+    for name_ in sections:
+        parts += [F.lit(f"\n## {name_}\n\n"), F.coalesce(name_, F.lit("none")), F.lit("\n")]
+    return rows.select("repo", F.concat(*parts).alias("report"))

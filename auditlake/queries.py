@@ -164,22 +164,75 @@ def config_keyword_hits(spark, sf_dir):
     return found.select("path", "code_context", F.regexp_extract("description", "capability '([^']*)'", 1).alias("word"))
 
 
-@query()
+#: What the two planted Python files hold, by file name: seq, line, call, base, prefix, module, tainted, constant, command_tainted.
+PYTHON_CALLS = {
+    "main.py": [(0, 2, "requests.get", "get", "requests", "requests", False, False, False), (1, 4, "shlex.quote", "quote", "shlex", "shlex", False, False, False), (2, 5, "eval", "eval", "", "", True, False, True), (3, 5, "input", "input", "", "", False, True, False)],
+    "obf.py": [(0, 1, "chr", "chr", "", "", False, True, False), (1, 1, "chr", "chr", "", "", False, True, False), (2, 2, "chr", "chr", "", "", False, True, False), (3, 3, "__import__", "__import__", "", "", False, True, False), (4, 4, "requests.post", "post", "requests", "requests", False, False, False), (5, 5, "requests.post", "post", "requests", "requests", False, False, False)],
+}
+#: The findings on them: seq, line, severity, category, rule, call, tainted, confidence, note.
+PYTHON_FINDINGS = {
+    "main.py": [(4, 2, "HIGH", "network", "HIGH", "requests.get", False, 0.7, " [SAFEGUARD_DETECTED: SSRF_PROTECTION at line 3]"), (20, 5, "CRITICAL", "code_execution", "CRIT", "eval", True, 0.9, " [input of a user] [SAFEGUARD_DETECTED: SHELL_INJECTION_GUARD at line 4]"), (30, 5, "MEDIUM", "other", "CRIT", "input", False, 0.5, " [constant arguments] [SAFEGUARD_DETECTED: SSRF_PROTECTION at line 3]")],
+    "obf.py": [(30, 3, "MEDIUM", "code_execution", "CRIT", "__import__", False, 0.5, " [constant arguments]"), (44, 4, "HIGH", "network", "HIGH", "requests.post", False, 0.7, ""), (54, 5, "HIGH", "network", "HIGH", "requests.post", False, 0.7, "")],
+}
+
+
+def _row(values: tuple) -> str:
+    return "(" + ", ".join(literal(v) if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v) for v in values) + ")"
+
+
+def _facts(by_file: dict) -> str:
+    return ", ".join(_row((name, *row)) for name, rows in by_file.items() for row in rows)
+
+
+@query(f"""WITH {SEED}, v(tail, seq, line, call, base, prefix, module, tainted, constant, command_tainted) AS (VALUES {_facts(PYTHON_CALLS)})
+SELECT repo, path, seq::BIGINT AS seq, line::INTEGER AS line, call, base, prefix, module, tainted, constant, FALSE AS shell, FALSE AS listed, FALSE AS first_constant, command_tainted, NULL::VARCHAR AS open_mode, NULL::VARCHAR AS error FROM tree JOIN v USING (tail)""")
 def python_calls(spark, sf_dir):
     return pycalls.python_calls(tree(spark, sf_dir).where("ext = '.py'"))
 
 
-@query()
+@query(f"""WITH {SEED}, v(tail, seq, line, severity, category, rule, call, tainted, confidence, note) AS (VALUES {_facts(PYTHON_FINDINGS)}), t AS (SELECT *, string_split(content, chr(10)) AS l FROM tree JOIN v USING (tail))
+SELECT repo, path, seq::BIGINT AS seq, line::INTEGER AS line, severity, category, 'PY-' || rule || '-' || lpad(line::VARCHAR, 4, '0') AS rule_id, 'Dangerous call: ' || call || '()' AS title, 'call of ' || call || note AS description,
+array_to_string(list_transform(range(greatest(line - 5, 1), least(line + 5, len(l)) + 1), lambda i: CASE WHEN i = line THEN '>>> ' ELSE '    ' END || lpad(i::VARCHAR, 4, ' ') || ' | ' || rtrim(l[i])), chr(10)) AS code_context, tainted, confidence::DOUBLE AS confidence FROM t""")
 def python_findings(spark, sf_dir):
     files = tree(spark, sf_dir).where("ext = '.py'")
     return pycalls.annotate(pycalls.python_findings(files), pycalls.safeguards(files))
 
 
-@query()
+@query(f"WITH {SEED} SELECT repo, path, CASE tail WHEN 'main.py' THEN 0.3 ELSE 1.35 END::DOUBLE AS score FROM tree WHERE tail IN ('main.py', 'obf.py')")
 def python_obfuscation(spark, sf_dir):
     return pycalls.python_obfuscation(tree(spark, sf_dir).where("ext = '.py'"))
 
 
+#: Sources of our own, each with the findings that the ladder of severities gives: line, severity, category, rule, call, tainted, confidence.
+PYTHON_CASES = [
+    ("import subprocess as sp\ndef f(cmd, n):\n    sp.run(cmd, shell=True)\n    sp.run(['ls', n])\n    sp.run([n])\n    sp.Popen([n])\n    sp.check_output('ls')\n    sp.call('ls', shell=True)", 0.0,
+     [(3, "CRITICAL", "system_command", "HIGH", "sp.run", True, 0.9), (4, "INFO", "system_command", "HIGH", "sp.run", False, 0.7), (5, "LOW", "system_command", "HIGH", "sp.run", False, 0.7), (7, "HIGH", "system_command", "HIGH", "sp.check_output", False, 0.5), (8, "HIGH", "system_command", "HIGH", "sp.call", False, 0.5)]),
+    ("def g(p, data):\n    open(p)\n    open('log', 'a')\n    open(p, 'wb')\n    open('x', mode='w')\n    open(data.name, 'ab')", 0.0,
+     [(2, "HIGH", "file_operations", "MEDI", "open", True, 0.9), (3, "LOW", "file_operations", "MEDI", "open", False, 0.5), (4, "HIGH", "file_operations", "MEDI", "open", True, 0.9), (5, "LOW", "file_operations", "MEDI", "open", False, 0.5), (6, "MEDIUM", "file_operations", "MEDI", "open", False, 0.7)]),
+    ("import os\ndef a(cmd):\n    os.system(cmd)\n    def inner(x):\n        os.system(cmd)\n        eval(x)\nos.system(cmd)\nq = input()\nexec(q)\nos.remove('a')\nos.unlink(q)", 0.6,
+     [(3, "HIGH", "system_command", "HIGH", "os.system", True, 0.9), (5, "HIGH", "system_command", "HIGH", "os.system", True, 0.9), (6, "CRITICAL", "code_execution", "CRIT", "eval", True, 0.9), (7, "HIGH", "system_command", "HIGH", "os.system", False, 0.7), (9, "CRITICAL", "code_execution", "CRIT", "exec", True, 0.9), (10, "INFO", "file_operations", "MEDI", "os.remove", False, 0.5), (11, "HIGH", "file_operations", "MEDI", "os.unlink", True, 0.9)]),
+    ("def broken(:\n    eval(1)", 0.0, []),
+]
+
+
+def _case_files(spark, sf_dir) -> DataFrame:
+    k = F.col("n_nationkey")
+    source = F.element_at(F.array(*[F.lit(c[0]) for c in PYTHON_CASES]), (k % len(PYTHON_CASES) + 1).cast("int"))
+    return _table(spark, sf_dir, "nation").select(F.lit("r").alias("repo"), k.cast("string").alias("path"), source.alias("content"))
+
+
+@query(f"""WITH v(k, line, severity, category, rule, call, tainted, confidence) AS (VALUES {', '.join(_row((n, *row)) for n, c in enumerate(PYTHON_CASES) for row in c[2])})
+SELECT n_nationkey::VARCHAR AS path, line::INTEGER AS line, severity, category, 'PY-' || rule || '-' || lpad(line::VARCHAR, 4, '0') AS rule_id, 'Dangerous call: ' || call || '()' AS title, tainted, confidence::DOUBLE AS confidence FROM nation JOIN v ON n_nationkey % {len(PYTHON_CASES)} = k""")
+def python_cases(spark, sf_dir):
+    """The ladder of severities on sources with stated findings: lists, shells, modes, scopes, taint."""
+    return pycalls.python_findings(_case_files(spark, sf_dir)).select("path", "line", "severity", "category", "rule_id", "title", "tainted", "confidence")
+
+
+@query(f"WITH v(k, score) AS (VALUES {', '.join(_row((n, c[1])) for n, c in enumerate(PYTHON_CASES))}) SELECT n_nationkey::VARCHAR AS path, score::DOUBLE AS score FROM nation JOIN v ON n_nationkey % {len(PYTHON_CASES)} = k")
+def python_case_scores(spark, sf_dir):
+    return pycalls.python_obfuscation(_case_files(spark, sf_dir)).select("path", "score")
+
+
 # --- classification -----------------------------------------------------------------------------
 
 EXT = r"coalesce(nullif(lower(regexp_extract(filename, '^\.*[^.].*?(\.[^.]*)$', 1)), ''), '(no ext)')"
@@ -397,9 +450,54 @@ f AS (SELECT id, arg_min(subject, pos) AS by_text FROM r, u WHERE contains(text,
 o AS (SELECT r.id, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN coalesce(named, by_text) END AS subject FROM r LEFT JOIN named USING (id) LEFT JOIN f USING (id))
 SELECT id, severity, subject, CASE WHEN subject IS NULL THEN severity WHEN severity = 'CRITICAL' THEN 'HIGH' WHEN severity = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS new_severity FROM o""")
 def downgrade_join(spark, sf_dir):
-    assumptions = spark.createDataFrame([("r", p, s, v, c, i) for p, s, v, c, i in ASSUMED], "repo string, pos int, subject string, verified boolean, confidence double, risk_ids array<long>")
-    reviews = _verdict_texts(spark, sf_dir)
-    return trust.downgrade(reviews, assumptions).select("id", "severity", "subject", "new_severity")
+    return trust.downgrade(_verdict_texts(spark, sf_dir), _assumed(spark)).select("id", "severity", "subject", "new_severity")
+
+
+def _assumed(spark) -> DataFrame:
+    return spark.createDataFrame([("r", p, s, v, c, i) for p, s, v, c, i in ASSUMED], "repo string, pos int, subject string, verified boolean, confidence double, risk_ids array<long>")
+
+
+CLAIM = "the official Router contract"
+
+
+@query(f"""WITH e AS ({SQL['endpoint_scores']}), r AS ({SQL['reputation_scores']}), c AS ({SQL['contract_scores']}), {RESULTS},
+a AS (SELECT n_nationkey AS pos, (n_nationkey % 3)::VARCHAR AS repo, {_words(SUBJECTS)}[n_nationkey % 7 + 1] AS subject, ['API_ENDPOINT', 'SERVICE_REPUTATION', 'CONTRACT_ADDRESS', 'OTHER'][n_nationkey // 7 + 1] AS category FROM nation)
+SELECT a.repo, a.pos, a.category, a.subject, CASE category WHEN 'API_ENDPOINT' THEN e.verified WHEN 'SERVICE_REPUTATION' THEN r.verified WHEN 'CONTRACT_ADDRESS' THEN c.verified END AS verified,
+CASE category WHEN 'API_ENDPOINT' THEN e.score WHEN 'SERVICE_REPUTATION' THEN r.score WHEN 'CONTRACT_ADDRESS' THEN c.score END AS confidence FROM a LEFT JOIN e USING (subject) LEFT JOIN r USING (subject) LEFT JOIN c USING (subject)""")
+def verified_assumptions(spark, sf_dir):
+    """Assumptions of every category, each by its verifier."""
+    k = F.col("n_nationkey")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+    rows = _table(spark, sf_dir, "nation").select(k.alias("pos"), (k % 3).cast("string").alias("repo"), pick(SUBJECTS, k % 7).alias("subject"), pick([*trust.VERIFIERS, "OTHER"], F.floor(k / 7)).alias("category"), F.lit(CLAIM).alias("claim"))
+    return trust.verify(rows, _results(spark, sf_dir)[1]).select("repo", "pos", "category", "subject", "verified", "confidence")
+
+
+@query(f"""{SHELL_HITS}, m AS (SELECT DISTINCT repo, path, name, severity FROM hits), a(pos, subject, verified, confidence, ids) AS (VALUES {', '.join(f"({p}, {literal(s)}, {'NULL' if v is None else v}, {c}, {i}::INTEGER[])" for p, s, v, c, i in ASSUMED)}), good AS (SELECT * FROM a WHERE verified AND confidence >= 0.6),
+r AS (SELECT repo, doc_id AS id, {_words(LEVELS)}[length(text) % 6 + 1] AS severity, lower(text) AS text, (length(text) % 11)::DOUBLE / 10 AS sure FROM docs), named AS (SELECT DISTINCT id FROM (SELECT unnest(ids) AS id FROM good)),
+t AS (SELECT subject, lower(subject) AS low, string_split(replace(replace(lower(subject), 'https://', ''), 'http://', ''), '/')[1] AS domain FROM good), u AS (SELECT *, {SERVICE} AS service FROM t),
+f AS (SELECT DISTINCT id FROM r, u WHERE contains(text, low) OR contains(text, domain) OR (length(service) > 2 AND contains(text, service))),
+o AS (SELECT repo, sure, CASE WHEN r.id NOT IN (SELECT id FROM named) AND r.id NOT IN (SELECT id FROM f) THEN severity WHEN severity = 'CRITICAL' THEN 'HIGH' WHEN severity = 'HIGH' THEN 'MEDIUM' WHEN severity = 'MEDIUM' THEN 'LOW' ELSE severity END AS severity FROM r),
+s AS (SELECT repo, severity FROM m UNION ALL SELECT repo, severity FROM o WHERE severity <> 'UNKNOWN'), h AS (SELECT repo, {COUNTS}, count(*) FILTER (severity NOT IN ('SAFE', 'INFO')) AS total FROM s GROUP BY repo),
+g AS (SELECT repo, CASE WHEN bool_and(severity IN ('SAFE', 'LOW')) FILTER (severity <> 'UNKNOWN') THEN 'MEDIUM' END AS cap, avg(sure) FILTER (severity <> 'UNKNOWN') AS mean FROM o GROUP BY repo),
+n AS (SELECT repo, right(repo, 1) IN ('1', '3') AS is_partial, CASE WHEN right(repo, 1) IN ('1', '2') THEN 'DO_NOT_USE' WHEN right(repo, 1) IN ('3', '4') THEN 'VERIFY_BEFORE_USE' END AS verdict FROM (SELECT DISTINCT repo FROM docs)),
+x AS (SELECT n.*, h.* EXCLUDE (repo), cap, mean FROM n JOIN h USING (repo) JOIN g USING (repo)), b AS (SELECT *, CASE WHEN cap IS NOT NULL AND ({RISK}) IN ('CRITICAL', 'HIGH') THEN cap ELSE {RISK} END AS level FROM x),
+w AS (SELECT *, CASE WHEN is_partial AND total > 0 THEN level || ' (PARTIAL AUDIT — Go code not analyzed)' WHEN is_partial THEN 'PARTIAL — core language (Go) not analyzed' ELSE level END AS risk FROM b), y AS (SELECT *, {_BASE} AS base FROM w)
+SELECT repo, critical, high, medium, low, total, CASE WHEN verdict IS NULL THEN risk WHEN base = '' THEN CASE verdict WHEN 'DO_NOT_USE' THEN 'CRITICAL (' ELSE 'MEDIUM (' END || risk || ')' WHEN verdict = 'DO_NOT_USE' THEN 'CRITICAL' || risk[length(base) + 1:]
+ELSE CASE WHEN base IN ('SAFE', 'LOW') THEN 'MEDIUM' ELSE base END || risk[length(base) + 1:] END AS risk, round(CASE WHEN is_partial THEN greatest(mean * 0.4, 0.05) ELSE mean END, 6) AS confidence FROM y""")
+def risk_after_trust(spark, sf_dir):
+    """Risk of each source after reviews are lowered by verified assumptions and the chain's verdict overrides it."""
+    files = corpus(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), "text")
+    n = F.length("text")
+    texts = docs.select("repo", "id", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), n % 6 + 1).alias("severity"), "text", ((n % 11) / F.lit(10.0)).alias("final_confidence"))
+    repos = docs.select("repo").distinct()
+    last = F.right("repo", F.lit(1))
+    assumed = repos.join(F.broadcast(_assumed(spark).drop("repo")))  # five literal rows for each repository
+    reviews = trust.downgrade(texts, assumed).select("repo", F.col("new_severity").alias("final_severity"), "final_confidence")
+    severities = matching.shell_findings(files).select("repo", "severity").unionByName(reviews.where("final_severity <> 'UNKNOWN'").select("repo", F.col("final_severity").alias("severity")))
+    walked = repos.select("repo", F.lit(2).alias("files_walked"), F.lit(1).alias("files_analyzed"), F.lit("Go").alias("dominant"), (~last.isin("1", "3")).alias("dominant_supported"), F.lit(False).alias("is_low_coverage"), F.lit(0.4).alias("ratio"))
+    verdicts = repos.select("repo", F.when(last.isin("1", "2"), "DO_NOT_USE").when(last.isin("3", "4"), "VERIFY_BEFORE_USE").alias("verdict"))
+    return plans.settled(walked, severities, reviews, verdicts).select("repo", "critical", "high", "medium", "low", "total", "risk", "confidence")
 
 
 def _verdict_texts(spark, sf_dir) -> DataFrame:
@@ -550,11 +648,11 @@ def overall_confidence(spark, sf_dir):
     return means.select("repo", F.round(review.overall_confidence(F.col("mean"), F.lit(1), F.col("repo") % 2 == 0, F.lit(0.4)), 6).alias("confidence"))
 
 
-@query("SELECT owner, report, max(ts) AS ts FROM (SELECT user_id AS owner, event_type AS report, event_id AS ts FROM events) GROUP BY ALL")
+@query("SELECT user_id AS owner, event_type AS report, event_id AS ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC)::INTEGER AS age FROM events")
 def cache_listing(spark, sf_dir):
-    """Newest report of each owner and name."""
+    """Every report of each owner and name, the newest first."""
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("report"), F.col("event_id").alias("ts"))
-    return discovery.latest(rows, ["owner", "report"], ["ts"]).orderBy("owner", "report")
+    return discovery.listing(rows, ["owner", "report"], ["ts"])
 
 
 @query("SELECT doc_id, 'File: ' || doc_id || chr(10) || chr(10) || 'Context:' || chr(10) || source || chr(10) || chr(10) || 'Content:' || chr(10) || text[1:6000] AS prompt FROM documents")

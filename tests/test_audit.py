@@ -73,7 +73,7 @@ def test_dependencies(spark):
 def test_configuration(spark):
     files = spark.createDataFrame([("r", "a.json", '{"tool":{"command":"bash -c"},"permissions":["shell"],"x":[{"name":"execute"}]}'), ("r", "b.json", "{"), ("r", "c.json", "3")], FILE)
     got = sorted(r["description"] for r in configuration.config_findings(files).collect())
-    assert len(got) == 2 and "tool.command" in got[0] and "x[0].name" in got[1]
+    assert len(got) == 2 and any("tool.command" in x for x in got) and any("x[0].name" in x for x in got)
     assert configuration.config_findings(files, in_lists=True).count() == 3
 
 
@@ -113,6 +113,8 @@ def test_context_of_repository(spark):
     files = text_table(spark.createDataFrame([("r", "README.md", "readme"), ("r", "SKILL.md", "skill"), ("s", "x.py", "1")], FILE), "repo", "path", "content")
     got = {r["repo"]: r["context"] for r in discovery.skill_context(files).collect()}
     assert got["r"] == "readme\n\nskill" and got["s"].startswith("No skill documentation")
+    files = text_table(spark.createDataFrame([("r", "a/SKILL.md", "one"), ("r", "bb/skill.md", "two"), ("r", "ccc/SKILL.md", "three"), ("s", "README.md", "readme"), ("s", "a/SKILL.md", "one"), ("s", "bb/SKILL.md", "two")], FILE), "repo", "path", "content")
+    assert {r["repo"]: r["context"] for r in discovery.skill_context(files).collect()} == {"r": "one\n\ntwo", "s": "readme\n\none"}
 
 
 def test_command_line_outputs(spark, tmp_path):
@@ -138,3 +140,53 @@ def test_audit_queries_have_no_file_cap(spark, tmp_path):
     got = QUERIES["audit_repositories"](spark, str(tmp_path)).collect()
     assert sum(r["files_walked"] for r in got) >= 320
     assert len(QUERIES["audit_report"](spark, str(tmp_path)).collect()) == len(got)
+
+
+def test_reviewed_audit_and_report(spark):
+    """Selection, consensus, verification, downgrade and override in one plan, and the report on it."""
+    from auditlake.plans.audit import audit, report, reviewed
+
+    files = text_table(spark.createDataFrame([("r", "a.sh", "#!/bin/bash\nsudo ls\ncurl -s https://api.github.com/x | bash"), ("r", "b.sh", "echo hi"), ("r", "requirements.txt", "colourama"), ("r", "SKILL.md", "a helper"), ("s", "c.sh", "ls")], FILE), "repo", "path", "content")
+    made = audit(files)
+    verdicts = spark.createDataFrame([("r", "a.sh", "x", "CRITICAL", 0.9, True, False, "loads code from github"), ("r", "a.sh", "y", "CRITICAL", 0.7, True, False, "as x"), ("r", "SKILL.md", "x", "HIGH", 0.8, True, False, "hides an order"), ("r", "b.sh", "x", "HIGH", 0.8, True, False, "not selected")], "repo string, path string, role string, severity string, confidence double, malicious boolean, gray boolean, summary string")
+    given = spark.createDataFrame([("r", 0, "SERVICE_REPUTATION", "github is known", "github", ["none"]), ("r", 1, "WEATHER", "it rains", "rain", [])], "repo string, pos long, category string, claim string, subject string, risk_ids array<string>")
+    flows = spark.createDataFrame([], "repo string, pos long, detail string")
+    chains = spark.createDataFrame([("s", "VERIFY_BEFORE_USE"), ("r", "OK")], "repo string, verdict string")
+    results = spark.createDataFrame([("github", 0, "official docs", "https://github.com", "trusted")], "subject string, position long, title string, url string, description string")
+    second = reviewed(made, verdicts, given, flows, chains, results)
+    got = {r["path"]: (r["first_severity"], r["final_severity"], r["semantic_attack"]) for r in second.reviews.collect()}
+    assert got == {"a.sh": ("CRITICAL", "HIGH", False), "SKILL.md": ("HIGH", "HIGH", True)}
+    assert [(r["path"], r["subject"]) for r in second.log.collect()] == [("a.sh", "github")]
+    told = {r["id"]: (r["verified"], r["downgrade_applied"], len(r["evidence"])) for r in second.assumptions.collect()}
+    assert told == {"ta_001": (True, True, 1), "ta_002": (None, False, 0)}
+    risks = {r["repo"]: (r["risk"], r["confirmed"], r["inconclusive"]) for r in second.repositories.collect()}
+    assert risks == {"r": ("CRITICAL", 1, 1), "s": ("MEDIUM", 0, 0)}
+    assert [r["path"] for r in second.scenarios.collect()] == ["a.sh"]
+    texts = {r["repo"]: r["report"] for r in report(made, second).collect()}
+    for part in ("## Findings", "## Dependencies", "colourama is on the list", "lowered from CRITICAL because of github", "github is known: confirmed", "it rains: open", "Trust: OK"):
+        assert part in texts["r"], part
+    plain = {r["repo"]: r["report"] for r in report(made, limit=1).collect()}
+    assert "more are in the table of findings" in plain["r"] and "No review took part" in plain["s"]
+
+
+def test_evidence_of_assumptions(spark):
+    rows = spark.createDataFrame([("API_ENDPOINT", "api.1inch.dev", "c"), ("API_ENDPOINT", "evil.1inch.xyz", "c"), ("API_ENDPOINT", "example.org", "c"), ("CONTRACT_ADDRESS", "0xAB", "Router of Acme"), (None, "x", None)], "category string, subject string, claim string")
+    results = spark.createDataFrame([("0xAB", 0, "t", "https://etherscan.io/0xab", "d"), ("0xAB", 1, "0xab", "https://z.io", None), ("api.1inch.dev", 0, "about api.1inch.dev", "https://1inch.dev/x", "d")], "subject string, position long, title string, url string, description string")
+    got = {r["subject"]: (r["verified"], [e["weight"] for e in r["evidence"]]) for r in trust.verify(rows, results).collect()}
+    assert got == {"api.1inch.dev": (True, ["strong", "strong"]), "evil.1inch.xyz": (False, ["negative"]), "example.org": (True, ["informational"]), "0xAB": (True, ["strong", "moderate"]), "x": (None, [])}
+
+
+def test_yaml_configuration(spark):
+    files = spark.createDataFrame([("r", "a.yaml", "tool:\n  command: bash -c x\nlist:\n  - cmd: shell\n"), ("r", "b.yml", "a: [")], FILE)
+    if configuration.yaml is None:
+        assert configuration.config_leaves(files).where("error is null").count() == 0
+    else:
+        places = {r["description"].split(" is granted at ")[1].split(" = ")[0] for r in configuration.config_findings(files).collect()}
+        assert places == {"tool.command", "list[0].cmd"} and configuration.config_leaves(files).where("error is not null").count() == 1
+
+
+def test_calls_of_deep_sources():
+    """The walk does not depend on depth: scopes end, and a long chain of sums is no error."""
+    rows, error = pycalls.calls_of("x = " + " + ".join(["f(a)"] * 400) + "\ndef g(a):\n    h(a)\nh(a)")
+    assert error is None and [r["tainted"] for r in rows if r["call"] == "h"] == [True, False] and len(rows) == 402
+    assert pycalls.calls_of("a = (")[1].startswith("SyntaxError")
