@@ -10,7 +10,7 @@ import re
 from functools import reduce
 from re import _parser as parser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -58,16 +58,22 @@ def _needed_of(part) -> list[str]:
     return best
 
 
-def likely(text: Column, pattern: str) -> Column:
-    """A cheap test that every text with a match of pattern passes."""
+def likely(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """A cheap test that every text with a match of pattern passes; low is the text in lower case, where it is at hand."""
     found = needed(pattern)
     if not found:
         return F.lit(True)
     if pattern.startswith("(?i)"):
-        text, found = F.lower(text), [x.lower() for x in found]
+        text, found = F.lower(text) if low is None else low, [x.lower() for x in found]
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in dict.fromkeys(found)])
 
 
+def with_likely(files: DataFrame, patterns: list[str], low: str = "__low") -> DataFrame:
+    """The files whose content may hold a match of a pattern, with the content in lower case as column low."""
+    lowered = files.withColumn(low, F.lower("content"))
+    return lowered.where(reduce(lambda a, b: a | b, [likely(F.col("content"), p, F.col(low)) for p in patterns]))
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?d){pattern}"))
 

@@ -29,9 +29,20 @@ def language(path: Column, filename: Column, ext: Column, content: Column) -> Co
 
 
 def within_limits(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
-    """Mark each file as over_cap (beyond max_files of its repository, by path; none without max_files) or too_large."""
-    over = F.lit(False) if max_files is None else F.row_number().over(Window.partitionBy("repo").orderBy("path")) > max_files
-    return files.withColumn("over_cap", over).withColumn("too_large", F.col("size_bytes") > MAX_BYTES)
+    """Mark each file as over_cap (beyond max_files of its repository, by path; none without max_files) or too_large.
+
+    Only paths are ranked: the last path within the cap of each repository that
+    has more files is found first, and contents are compared with it where they
+    are.  Files that share that path count alike.
+    """
+    marked = files.withColumn("too_large", F.col("size_bytes") > MAX_BYTES)
+    if max_files is None:
+        return marked.withColumn("over_cap", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+    ends = files.select("repo", "path").withColumn("__n", place).where(F.col("__n") <= max_files)
+    last = ends.groupBy(F.col("repo").alias("__repo")).agg(F.max("path").alias("__last"), F.count(F.lit(1)).alias("__size")).where(F.col("__size") == max_files)
+    joined = marked.join(last, F.col("repo").eqNullSafe(F.col("__repo")), "left")
+    return joined.withColumn("over_cap", F.coalesce(F.col("path") > F.col("__last"), F.lit(False))).drop("__repo", "__last", "__size")
 
 
 def classified(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:

@@ -37,7 +37,8 @@ def line_hits(files: DataFrame, rules: Rules, skip: Callable[[str, Column], Colu
     numbered = F.transform("lines", lambda line, i: F.struct(line.alias("x"), (i + 1).alias("n")))
     likely = F.filter(numbered, lambda s: reduce(lambda a, b: a | b, [T.likely(s["x"], p) for _, _, p in rules]))
     hits = F.flatten(F.transform(likely, lambda s: found(s["x"], s["n"])))
-    return files.withColumn("lines", T.lines(F.col("content"))).drop("content").withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit")
+    some = T.with_likely(files, [p for _, _, p in rules]).drop("__low")
+    return some.withColumn("lines", T.lines(F.col("content"))).drop("content").withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit")
 
 
 def line_hits_by_join(files: DataFrame, rules: Rules) -> DataFrame:
@@ -91,8 +92,9 @@ def prompt_findings(files: DataFrame) -> DataFrame:
     for i, (severity, name, pattern) in enumerate(R.PROMPT_RULES):
         regex = f"(?dms){pattern}"
         before = F.split(F.col("content"), regex, 2)[0]
-        tests.append(F.when(T.likely(F.col("content"), pattern) & F.col("content").rlike(regex), F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))))
-    hits = files.withColumn("lines", T.lines(F.col("content"))).withColumn("hit", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))).select("*", "hit.*").drop("hit", "content")
+        tests.append(F.when(T.likely(F.col("content"), pattern, F.col("__low")) & F.col("content").rlike(regex), F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))))
+    some = T.with_likely(files, [p for _, _, p in R.PROMPT_RULES]).withColumn("hits", F.filter(F.array(*tests), lambda x: x.isNotNull())).where(F.size("hits") > 0)
+    hits = some.withColumn("lines", T.lines(F.col("content"))).withColumn("hit", F.explode("hits")).select("*", "hit.*").drop("hit", "hits", "content", "__low")
     return _finding(hits, F.concat(F.lit("skill_prompt_"), "name"), T.rule_id("SK", F.col("severity"), F.col("line")), F.concat(F.lit("Skill Prompt: "), "name"), F.concat(F.lit("prompt rule "), "name"), 0.65, 3)
 
 

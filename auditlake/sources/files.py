@@ -11,9 +11,14 @@ from ..functions.rules import PRUNED_DIRS
 MAX_BYTES, MAX_FILES = 500 * 1024, 300
 
 
+#: Stand for U+FFFD while malformed bytes are replaced by it; no character of any text.
+_STAND_IN = "\U0010ffff"
+
+
 def decode(content: Column) -> Column:
-    """UTF-8 text of bytes; malformed sequences are left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 text of bytes; malformed sequences are left out, a replacement character that is in the file stays."""
+    valid = F.make_valid_utf8(F.replace(content.cast("string"), F.lit("\ufffd"), F.lit(_STAND_IN)))
+    return F.replace(F.replace(valid, F.lit("\ufffd"), F.lit("")), F.lit(_STAND_IN), F.lit("\ufffd"))
 
 
 def kept_directory(path: Column) -> Column:
@@ -28,10 +33,18 @@ def describe(files: DataFrame) -> DataFrame:
 
 
 def read_repositories(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("_ground_truth.json",)) -> DataFrame:
-    """Every file below root, whose first level names the repositories; pruned directories are left out."""
+    """Every file below root, whose first level names the repositories; pruned directories are left out.
+
+    Files beyond MAX_BYTES are listed without their content, which is never read.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = F.regexp_extract(F.col("path"), rf"/{root.rstrip('/').rpartition('/')[2]}/(.+)$", 1)
-    files = raw.select(F.split(tail, "/")[0].alias("repo"), F.regexp_replace(tail, r"^[^/]+/", "").alias("path"), F.col("length").alias("size_bytes"), decode(F.col("content")).alias("content"))
+    tail = F.substring(F.col("path"), len(top) + 2, F.lit(1 << 30))
+    shape = lambda rows, content: rows.select(F.split(tail, "/")[0].alias("repo"), F.regexp_replace(tail, r"^[^/]+/", "").alias("path"), F.col("length").alias("size_bytes"), content.alias("content"))
+    read = shape(raw.where(F.col("length") <= MAX_BYTES), decode(F.col("content")))
+    large = shape(raw.select("path", "length").where(F.col("length") > MAX_BYTES), F.lit(None).cast("string"))
+    files = read.unionByName(large)
     return describe(files.where(kept_directory(F.col("path")))).where(~F.col("filename").isin(*ignore))
 
 

@@ -190,3 +190,18 @@ def test_calls_of_deep_sources():
     rows, error = pycalls.calls_of("x = " + " + ".join(["f(a)"] * 400) + "\ndef g(a):\n    h(a)\nh(a)")
     assert error is None and [r["tainted"] for r in rows if r["call"] == "h"] == [True, False] and len(rows) == 402
     assert pycalls.calls_of("a = (")[1].startswith("SyntaxError")
+
+
+def test_read_repositories(spark, tmp_path):
+    """Roots with special characters and repeated names, large and pruned files, malformed and genuine replacement characters."""
+    from auditlake.operators import classify
+    from auditlake.sources.files import MAX_BYTES, read_repositories
+
+    root = tmp_path / "repos" / "y+(1)" / "repos"
+    for name, data in {"a/x.sh": b"ls\xff\n", "a/repos/y.md": "\ufffd".encode(), "a/node_modules/z.js": b"1", "b/big.py": b"#" * (MAX_BYTES + 1)}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    got = {(r["repo"], r["path"]): r["content"] for r in read_repositories(spark, str(root)).collect()}
+    assert got == {("a", "x.sh"): "ls\n", ("a", "repos/y.md"): "\ufffd", ("b", "big.py"): None}
+    stats = {r["repo"]: r["skipped_size"] for r in classify.walk_stats(classify.classified(read_repositories(spark, str(root)))).collect()}
+    assert stats == {"a": 0, "b": 1}
