@@ -107,6 +107,8 @@ def test_stream_equals_batch(spark, tmp_path):
     upsert_stream(stream, str(tmp_path / "index"), str(tmp_path / "ck"), ["k"], ["v"]).awaitTermination()
     batch = discovery.latest(spark.read.parquet(str(tmp_path / "in")), ["k"], ["v"])
     assert sorted(map(tuple, current(spark, str(tmp_path / "index")).collect())) == sorted(map(tuple, batch.collect()))
+    kept = list((tmp_path / "index").glob("v*/bucket=*"))
+    assert len({p.name for p in kept}) >= 2 and all(sum(p.name == q.name for q in kept) <= 2 for p in kept)
 
 
 def test_context_of_repository(spark):
