@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -60,6 +62,13 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> tuple[Dat
     return ranked, total
 
 
+def tidy() -> None:
+    """Give freed memory back to the system; a worker or the driver would keep it for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bits of the largest map of keys: 16 MB, whatever the size of the table.  A fuller map only marks more rows.
 MAP_BITS = 1 << 27
 
@@ -98,6 +107,7 @@ def in_doubt(rows: DataFrame, key: str, made: bytes, wanted: bool) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_map(made, batch.column(at).to_numpy()) == wanted))
+        tidy()
 
     return rows.mapInArrow(pick, rows.schema)
 

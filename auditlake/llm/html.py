@@ -25,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: Pages of a host whose template is deduced together, on average; a larger host is dealt to such groups by a hash.
 GROUP = 256
+#: Groups of GROUP pages that a task has, on average; the number of tasks grows with the table.
+GROUPS = 4
+#: Hosts of more than GROUP pages up to which their table is broadcast.
+HOSTS = 100_000
 #: Different pages below which a host says nothing about its template.
 LEAST = 4
 #: Tokens that make a class large enough to belong to a template.
@@ -351,16 +355,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     partitions.  A host of fewer than LEAST different pages has no template.  A
     null source or one without text gives an empty text; a null url counts as a
     host of its own; repeated rows are extracted each; an empty table gives no
-    rows; further columns are ignored.  Hosts are counted on narrow rows; sources are
+    rows; further columns are ignored.  Hosts are counted on narrow rows (an action);
+    the few large ones are broadcast if they are at most HOSTS, and sources are then
     shuffled once.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(host.alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    large = rows.groupBy(F.col("host").alias("of")).count().where(F.col("count") > GROUP).select("of", F.ceil(F.col("count") / GROUP).alias("groups"))
+    hosts = durable(rows.groupBy(F.col("host").alias("of")).count())
+    total = hosts.agg(F.sum("count")).first()[0] or 0
+    large = hosts.where(F.col("count") > GROUP).select("of", F.ceil(F.col("count") / GROUP).alias("groups"))
+    large = F.broadcast(large) if large.count() <= HOSTS else large
     group = F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("groups", F.lit(1))).alias("group")
     dealt = rows.join(large, F.col("host") == F.col("of"), "left").select("host", group, "id", "url", "html")
-    sorted_ = dealt.repartition("host", "group").sortWithinPartitions("host", "group")
+    parts = max(-(-total // (GROUPS * GROUP)), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = dealt.repartition(parts, "host", "group").sortWithinPartitions("host", "group")
     return sorted_.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 

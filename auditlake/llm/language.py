@@ -28,8 +28,8 @@ SLOTS = 1 << 17
 SWITCH = 8.0
 #: Share of a language's letters that a script needs to be one of the language's scripts.
 SCRIPT_SHARE = 0.005
-#: Words that are labelled together; bounds a worker's memory unless one text is longer.
-BATCH_WORDS = 400_000
+#: Scores of words that are held together; bounds a worker's memory unless one text is longer.
+BATCH_SCORES = 1_600_000
 UNKNOWN = "und"
 #: First and last code point of the scripts told apart; other letters count as script 0.
 SCRIPTS = {
@@ -46,9 +46,9 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF)],
-    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2A6DF)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x323AF)],
 }
-_LAST = 0x2FFFF
+_LAST = 0x10FFFF
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,6 @@ def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     letter, script = _letters()
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(points > _LAST, np.uint32(32), points)
     inside = letter[points]
     flat = np.where(inside, points, 0).astype(np.uint64)
     padded = np.r_[np.zeros(2, np.uint64), flat, np.zeros(1, np.uint64)]
@@ -122,23 +121,23 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     first = (np.cumsum(lengths) - lengths)[order]
     steps = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")
-    labels = np.empty(len(scores), np.int16)
-    back = np.empty(scores.shape, np.int8)
-    n = np.arange(scores.shape[1], dtype=np.int8)
+    labels = np.empty(len(scores), np.int32)
+    back = np.empty(scores.shape, np.int32 if scores.shape[1] > 1 << 15 else np.int16)
+    n = np.arange(scores.shape[1], dtype=back.dtype)
     value = np.empty((len(sizes), scores.shape[1]), np.float32)
     for t in range(steps):
         k = alive[t]
         at = first[:k] + t
         if t:
             now = value[:k]
-            best = now.argmax(axis=1).astype(np.int8)
+            best = now.argmax(axis=1).astype(back.dtype)
             jump = now[np.arange(k), best] - penalty
             stay = now >= jump[:, None]
             back[at] = np.where(stay, n, best[:, None])
             value[:k] = np.where(stay, now, jump[:, None]) + scores[at]
         else:
             value[:k] = scores[at]
-    state = value.argmax(axis=1).astype(np.int8)
+    state = value.argmax(axis=1).astype(back.dtype)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
         at = first[:k] + t
@@ -155,7 +154,7 @@ def _label(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray,
     for text in texts:
         held.append(words_of(text))
         count += len(held[-1][1])
-        if count >= BATCH_WORDS:
+        if count * len(model.languages) >= BATCH_SCORES:
             yield from _label_batch(model, held)
             held, count = [], 0
     if held:

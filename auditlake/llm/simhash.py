@@ -11,6 +11,7 @@ group as soon as the sum exceeds r.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, in_map, key_map, settle, table
+from .common import durable, in_map, key_map, settle, table, tidy
 from .components import components
 
 SEED = 42
@@ -28,6 +29,10 @@ SEED = 42
 FANOUT = 8
 #: Fingerprints of a band value that one task may hold; larger ones are dealt to pairs of blocks.
 BLOCK = 4096
+#: Fingerprints from which the band values of sixteen bits would hold too many; then three of these six parts
+#: (first byte, bytes) of a fingerprint make a band, as three bits leave three of them unchanged.
+WIDE = 1 << 26
+PARTS = ((0, 2), (2, 2), (4, 1), (5, 1), (6, 1), (7, 1))
 #: (fingerprint, node) pairs that a search holds at once.
 FRONTIER = 1 << 20
 
@@ -219,6 +224,8 @@ def _link(radius: int, words: int):
         near = GrayIndex(group, prints).links(radius)
         moved = np.flatnonzero(near != np.arange(len(near)))
         yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[near[moved]])], names=["u", "v"])
+        del parts, group, prints, node, near
+        tidy()
 
     return link
 
@@ -230,12 +237,13 @@ def _cut(entries: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
     return dealt.withColumn("group", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
 
 
-def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[int, int]] | None = None, sample: int = 1) -> DataFrame:
+def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[int, int]] | None = None, sample: int = 1, wide: bool = False) -> DataFrame:
     """Links (u, v) between nodes(node long, print binary; prints distinct) within radius bits.
 
     A band is two bytes of a print, 2 i and 2 i + 1 unless bands names others;
     prints that share a band meet in a task, so with radius + 1 bands no link is
-    missed.  The first words 64-bit words of a print are compared.  Not all pairs
+    missed; wide bands, three of the six PARTS, miss none within three bits
+    either.  The first words 64-bit words of a print are compared.  Not all pairs
     come out: per band value and task a spanning set of them.  A band value with
     more than BLOCK prints is cut into blocks by a hash, and each pair of blocks
     is searched apart, so no task holds more than two blocks of a value; the
@@ -243,6 +251,8 @@ def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[i
     """
     if bands:
         fields = [F.xxhash64(F.lit(i), F.substring("print", a + 1, 1), F.substring("print", b + 1, 1)) for i, (a, b) in enumerate(bands)]
+    elif wide:
+        fields = [F.xxhash64(F.lit(i), *[F.substring("print", a + 1, n) for a, n in three]) for i, three in enumerate(itertools.combinations(PARTS, 3))]
     else:
         fields = [F.xxhash64(F.lit(i), F.substring("print", 2 * i + 1, 2)) for i in range(4 * words)]
     compared = F.substring("print", 1, 8 * words).alias("print") if bands else F.col("print")
@@ -256,7 +266,7 @@ def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[i
 def _components(prints: DataFrame, radius: int, words: int) -> DataFrame:
     """(print, component_id) of the distinct prints(id, print)."""
     nodes = durable(prints.groupBy("print").agg(F.min("id").cast("long").alias("node")))
-    roots = components(hamming_links(nodes.where("node is not null"), radius, words))
+    roots = components(hamming_links(nodes.where("node is not null"), radius, words, wide=nodes.count() > WIDE))
     return nodes.join(roots, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
 
 
@@ -285,8 +295,12 @@ TWISTS = (1, 2, 4)
 SPREAD = 4
 #: Nodes of which one is counted to find band values with many prints.
 SAMPLE = 16
+#: Texts of a candidate group that one task compares with as many others; larger groups are dealt to pairs of blocks.
+COMPARE = 2048
 #: Distinct shingles up to which a text's candidates come from its shingles themselves.
 FEW = 64
+#: Texts whose shingles are held at once.
+ROWS = 512
 #: Slack for products of the similarity with whole numbers.
 SLACK = 1e-9
 
@@ -301,7 +315,7 @@ def _sets(width: int, similarity: float):
     """Per text: a number of its shingle set, the long fingerprint, and for few shingles the least ones, of which similar sets share one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             nodes, prints, least = [], [], []
             for text in batch.column(2).to_pylist():
                 own = np.unique(shingle_hashes(text, width))
@@ -309,6 +323,7 @@ def _sets(width: int, similarity: float):
                 prints.append(long_simhash(own, LONG).astype(">u8").tobytes() if len(own) else bytes(8 * LONG))
                 least.append(own[: len(own) - math.ceil(similarity * len(own) - SLACK) + 1].view(np.int64).tolist() if len(own) * similarity <= FEW else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["id", "own", "node", "print", "least"])
+        tidy()
 
     return scan
 
@@ -317,10 +332,11 @@ def _shingles_of(marked: bytes, width: int):
     """The distinct shingles of the texts that are marked."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             wanted = batch.filter(pa.array(in_map(marked, batch.column(1).to_numpy())))
             made = [np.unique(shingle_hashes(t, width)).tobytes() for t in wanted.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([wanted.column(0), wanted.column(1), pa.array(made, pa.binary())], names=["id", "own", "shingles"])
+        tidy()
 
     return shingles
 
@@ -332,10 +348,16 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     that are alike cost little.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    flat = flat[order]
+    number = np.cumsum(np.r_[False, flat[1:] != flat[:-1]], dtype=np.int32)
+    flat = np.empty(len(number), np.int32)
+    flat[order] = number
+    mark = np.zeros(int(number.max(initial=0)) + 1, np.int32)
+    del order, number
     begin = np.cumsum(sizes) - sizes
     parts = [flat[a : a + n] for a, n in zip(begin, sizes, strict=True)]
-    mark = np.zeros(len(names) + 1, np.int64)
     left = np.flatnonzero(sizes)
     links, queue = [], []
     joined = starts = None
@@ -377,6 +399,8 @@ def _verify(similarity: float):
                 own[node] = shingles
         if len(own) > 1:
             yield answer()
+        own = {}
+        tidy()
 
     return verify
 
@@ -384,14 +408,14 @@ def _verify(similarity: float):
 def _verified(rows: DataFrame, nodes: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) that span the nodes of each component of members(node, component) whose shingle sets are similar, by their exact Jaccard similarity.
 
-    A component of more than BLOCK nodes is cut into blocks, whose pairs are dealt to tasks.
+    A component of more than COMPARE nodes is cut into blocks, whose pairs are dealt to tasks.
     """
     chosen = durable(nodes.join(members, "node").select("component", "node", "text.own", "text.id"))
     marked = key_map(chosen.select("own"))
     kind = rows.schema["id"].dataType.simpleString()
     a, b = rows.mapInArrow(_shingles_of(marked, width), f"id {kind}, own long, shingles binary").alias("a"), chosen.alias("b")
     known = a.join(b, (F.col("a.own") == F.col("b.own")) & F.col("a.id").eqNullSafe(F.col("b.id"))).select("component", "node", "shingles")
-    hot = chosen.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    hot = chosen.groupBy("component").count().where(F.col("count") > COMPARE).select("component", F.ceil(F.col("count") / COMPARE).alias("blocks"))
     return _cut(known, "component", hot, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "u long, v long")
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +26,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Labelled documents of a class that a model is fitted on (in expectation; larger tables are
 #: sampled by a hash of the id), and the bytes that such a document may have.
-FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 6000, 20_000
+FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 4000, 20_000
 CODE = 8
 #: A toxic document with so many new codes, half of them seen in earlier ones, is a copy and trains nothing.
 COPY_CODES = 64
@@ -42,7 +42,7 @@ ODDS = (4.0, 8.0, 16.0, 32.0)
 TAIL = 32
 #: Calls of the trainer, the least bytes it may fill, and the bits of its table of frequencies: with the
 #: usual 20 the many strings that are no code crowd out frequent codes.
-PASSES, LEAST_BYTES, TABLE_BITS = 8, 1 << 12, 24
+PASSES, LEAST_BYTES, TABLE_BITS = 8, 1 << 12, 22
 #: Words of a window, and the level at which windows are compressed.
 WINDOW, LEVEL = 8, 6
 #: Bytes of content from ordinary text in both dictionaries, and of what toxic text adds.
@@ -153,10 +153,12 @@ def _telling(toxic: Counter, toxic_size: int, ordinary: Counter, ordinary_size:
     return {c for c, n in toxic.items() if rate(n, toxic_size) >= odds * rate(ordinary[c], ordinary_size)}
 
 
-def fit(texts: list[tuple[str | None, int]]) -> Model | None:
+def fit(texts: Iterable[tuple[str | None, int]]) -> Model | None:
     """Model from (text, toxic) pairs in a fixed order; None where a class is missing."""
-    unique = dict.fromkeys(texts)
-    coded = {k: [e for t, y in unique if y == k and (e := encode(t))] for k in (0, 1)}
+    coded: dict[int, list[bytes]] = {0: [], 1: []}
+    for text, label in dict.fromkeys(texts):
+        if label in coded and (data := encode(text)):
+            coded[label].append(data)
     if not coded[0] or not coded[1]:
         return None
     parts = {k: ([x for i, x in enumerate(v) if i % CALIBRATE or len(v) < CALIBRATE], v[::CALIBRATE]) for k, v in coded.items()}
@@ -194,6 +196,7 @@ def _scores(model: Model | None):
         for batch in batches:
             out = [model.score(_excess(scorer.differences(encode(t)), model.threshold)) if model else 0.0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
+        tidy()
 
     return scores
 
@@ -216,8 +219,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = F.when(F.col("__y") == 1, F.lit(min(1.0, bound[1] / max(1, size.get(1, 0))))).otherwise(F.lit(min(1.0, bound[0] / max(1, size.get(0, 0)))))
     sample = F.broadcast(own.where(draw < share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("__text")).where(f"__text is not null and octet_length(__text) <= {FIT_BYTES}").join(sample, F.col("__own") == F.col("__id"))
-    texts = rows.select(F.xxhash64("__id").alias("h"), "__text", "__y").collect()
-    return fit([(r[1], r[2]) for r in sorted(texts)])
+    texts = rows.select(F.xxhash64("__id").alias("h"), "__text", "__y").toArrow().sort_by([("h", "ascending"), ("__text", "ascending"), ("__y", "ascending")])
+    model = fit(zip(texts["__text"].to_pylist(), texts["__y"].to_pylist(), strict=True))
+    del texts
+    tidy()
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,6 +250,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             clean = [model is None or model.score(_excess(scorer.differences(encode(t)), model.threshold)) < 0.7 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -310,6 +310,7 @@ def test_near_dedup(spark):
 def test_near_groups_at_the_similarity(spark, monkeypatch, block):
     """Pairs at 0.75 to 0.85, short and long ones, and a chain: the links are those of the exact similarity."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "COMPARE", block)
     rng = random.Random(21)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     texts = []
@@ -537,3 +538,34 @@ def test_texts_of_pages_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert found[0] == found[1] and len(found[0]) == 700
+
+
+def test_hundreds_of_languages(spark):
+    rng = random.Random(31)
+    stems = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(stems[n], k=25))
+    frame = docs(spark, [(1000 * k + n, text(n), f"l{n:03}", "a") for n in range(300) for k in range(4)])
+    model = language.fit_language(frame)
+    held = docs(spark, [(n, text(n) if n < 300 else "\U00030000\U00030001 \U00030002", None, "a") for n in range(301)])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(held, model).collect()}
+    assert len(model.languages) == 300 and sum(got[n] == f"l{n:03}" for n in range(300)) >= 290 and got[300] != "und"
+
+
+def test_language_of_ties_repeats_and_long_texts(spark):
+    rows = [(i, "ab cd" if i % 2 else "ef gh", "x" if i % 2 else "y", "a") for i in range(1, 60)]
+    rows += [(100, "zz qq", None, "a"), (100, "zz qq", None, "a"), (101, "ab cd " * 200_000, None, "a")]
+    frame = docs(spark, rows)
+    got = language.identify(frame, language.fit_language(frame)).where("doc_id >= 100").collect()
+    told = sorted((r["doc_id"], r["lang_pred"]) for r in got)
+    assert told[0] == told[1] and told[0][0] == 100 and told[0][1] in ("x", "y") and told[2:] == [(101, "x")]
+
+
+def test_wide_bands_miss_no_link(spark):
+    rng = np.random.default_rng(6)
+    prints = [int(x) for x in rng.integers(0, 2**63, 60)]
+    prints += [p ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)) for p in prints for _ in range(3)]
+    prints = sorted(set(prints))
+    nodes = spark.createDataFrame([(i, p.to_bytes(8, "big")) for i, p in enumerate(prints)], "node long, print binary")
+    near = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    found = [tuple(r) for r in simhash.hamming_links(nodes, 3, 1, wide=True).collect()]
+    assert reach(len(prints), found) == reach(len(prints), near)
