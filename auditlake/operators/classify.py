@@ -84,3 +84,17 @@ def coverage(files: DataFrame) -> DataFrame:
     whole = F.when(based, c("prompts") + total).otherwise(total)
     out = sums.join(analyzed, "repo").join(main, "repo", "left").withColumn("is_prompt_based", based).withColumn("code_files", total).withColumn("ratio", F.when(whole > 0, c("analyzed") / whole).otherwise(1.0))
     return out.select("repo", "code_files", c("analyzed").alias("code_files_analyzed"), "prompts", "is_prompt_based", F.round("ratio", 6).alias("ratio"), F.coalesce("dominant", F.lit("N/A")).alias("dominant"), F.coalesce("dominant_supported", F.lit(True)).alias("dominant_supported"), ((c("code_files") > 5) & (c("ratio") < 0.5) & ~c("is_prompt_based")).alias("is_low_coverage"))
+
+
+def unsupported(files: DataFrame) -> DataFrame:
+    """(repo, name, files, place): code in languages without an analyzer, the most frequent first, ties by name."""
+    names = {e: n for e, n in R.CODE_NAMES.items() if e not in R.LANGUAGES}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    counts = type_counts(files).withColumn("name", F.try_element_at(known, F.col("ext"))).where("name is not null").groupBy("repo", "name").agg(F.sum("files").alias("files"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.col("files").desc(), "name")))
+
+
+def analyzed_listing(files: DataFrame) -> DataFrame:
+    """(repo, listing): analyzers with their number of files, by name."""
+    rows = language_counts(files).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("language", "files"))).alias("all"))
+    return rows.select("repo", F.array_join(F.transform("all", lambda x: F.concat(x["language"], F.lit(": "), x["files"].cast("string"))), ", ").alias("listing"))

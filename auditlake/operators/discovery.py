@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,19 @@ def discover(files: DataFrame, limit: int | None = 20) -> DataFrame:
     return out.orderBy("url").limit(limit) if limit else out
 
 
+#: Fixed values. Addresses of search pages that are no repositories.
+SEARCH_PAGES = ["google.com", "bing.com", "baidu.com", "search?"]
+
+
 def target(url: Column) -> Column:
-    """struct(owner, name, subdir) of an address: with a tree path, with .git, or a plain root whose name has no dot; else null."""
+    """struct(owner, name, subdir) of an address: with a tree path, with .git, or a plain root whose name has no dot; else, and for search pages, null."""
     u = F.regexp_replace(T.strip(url), r"[?#].*$", "")
     found = lambda p, n: F.nullif(F.regexp_extract(u, p, n), F.lit(""))
     tree, git, root = r"github\.com/([^/]+)/([^/]+?)(?:\.git)?/tree/[^/]+/(.+?)/?$", r"github\.com/([^/]+)/([^/]+?)\.git/?$", r"github\.com/([^/]+)/([^/.]+)/?$"
     owner = F.coalesce(found(tree, 1), found(git, 1), found(root, 1))
     name = F.coalesce(found(tree, 2), found(git, 2), found(root, 2))
-    return F.when(owner.isNotNull() & name.isNotNull(), F.struct(owner.alias("owner"), name.alias("name"), F.coalesce(found(tree, 3), F.lit("")).alias("subdir")))
+    search = reduce(lambda a, b: a | b, [F.contains(F.lower(url), F.lit(x)) for x in SEARCH_PAGES])
+    return F.when(owner.isNotNull() & name.isNotNull() & ~search, F.struct(owner.alias("owner"), name.alias("name"), F.coalesce(found(tree, 3), F.lit("")).alias("subdir")))
 
 
 def slug(name: Column, subdir: Column) -> Column:

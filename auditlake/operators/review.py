@@ -117,6 +117,34 @@ def evaluation(results: DataFrame) -> DataFrame:
     return results.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(ok, F.lit(False))).alias("correct"), F.count_if(s == "NOT_AUDITED").alias("not_audited")).withColumn("rate", F.round(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)), 6))
 
 
+def judged_fixtures(truths: DataFrame, results: DataFrame) -> DataFrame:
+    """truths(fixture, category, severity) with the risk and findings of results(fixture, risk, findings) and a status.
+
+    A fixture without a result is NOT_AUDITED; the others are OK or MISSED by the strict rules of evaluation.
+    """
+    risk = F.col("risk")
+    ok = F.when(F.col("category") == "TRUE_NEGATIVE", risk.isin("SAFE", "LOW", "INFO")).when(F.col("category") == "GRAY_AREA", risk.isin("MEDIUM", "HIGH")).otherwise(risk.isin("CRITICAL", "HIGH") & (F.col("findings") > 0))
+    joined = truths.join(results.withColumn("audited", F.lit(True)), "fixture", "left")
+    return joined.withColumn("status", F.when(F.col("audited").isNull(), "NOT_AUDITED").when(F.coalesce(ok, F.lit(False)), "OK").otherwise("MISSED")).drop("audited")
+
+
+def fixture_rates(judged: DataFrame) -> DataFrame:
+    """One row: detection, false positive and gray area rates of the audited fixtures, 0 where there are none, and how many are not."""
+    def share(category: str):
+        own = (F.col("category") == category) & (F.col("status") != "NOT_AUDITED")
+        return F.coalesce(F.try_divide(F.count_if(own & (F.col("status") == "OK")), F.count_if(own)), F.lit(None).cast("double"))
+
+    rate = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(name)
+    return judged.agg(rate(share("TRUE_POSITIVE"), "detection_rate"), rate(1 - share("TRUE_NEGATIVE"), "false_positive_rate"), rate(share("GRAY_AREA"), "gray_area_rate"), F.count_if(F.col("status") == "NOT_AUDITED").alias("not_audited"))
+
+
+def batch_summary(runs: DataFrame) -> DataFrame:
+    """(status, repositories, findings, highest) of runs(repo, status, risk, findings): completed, clone_failed or error."""
+    base = F.regexp_extract("risk", r"^(SAFE|LOW|MEDIUM|HIGH|CRITICAL)(?: |$)", 1)
+    done = F.col("status") == "completed"
+    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("repositories"), F.coalesce(F.sum(F.when(done, F.col("findings"))), F.lit(0)).cast("long").alias("findings"), name_of(F.max(F.when(done & (base != ""), rank(base, RISK_ORDER))), RISK_ORDER).alias("highest"))
+
+
 def self_test(results: DataFrame) -> DataFrame:
     """Passes of the lenient rules on (category, severity, findings, obfuscated), with a total row."""
     s = F.col("severity")

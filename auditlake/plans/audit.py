@@ -23,6 +23,16 @@ class Audit:
     results: DataFrame
     repositories: DataFrame
 
+    def persist(self) -> Audit:
+        """Keep what several outputs share; tables derived before or after read it instead of matching files again."""
+        for table in (self.findings, self.dep_issues, self.results):
+            table.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for table in (self.findings, self.dep_issues, self.results):
+            table.unpersist()
+
 
 def audit(files: DataFrame, reviews: DataFrame | None = None, max_files: int | None = MAX_FILES) -> Audit:
     """Audit files(repo, path, filename, ext, size_bytes, content) of any number of repositories.
@@ -84,6 +94,15 @@ class Reviewed:
     log: DataFrame
     repositories: DataFrame
 
+    def persist(self) -> Reviewed:
+        for table in (self.reviews, self.assumptions):
+            table.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for table in (self.reviews, self.assumptions):
+            table.unpersist()
+
 
 def reviewed(audited: Audit, verdicts: DataFrame, given: DataFrame, flows: DataFrame, chains: DataFrame, results: DataFrame, limit: int | None = 10) -> Reviewed:
     """The second half of an audit: selection, consensus, assumptions, verification, downgrade, override.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import text as T
-from .operators import classify, configuration, dependencies, discovery, matching, pycalls, review, trust
+from .operators import classify, configuration, dependencies, discovery, legacy, matching, pycalls, review, trust
 from .plans import audit as plans
 from .schema import FINDING_ORDER
 from .sources import seeded, sinks
@@ -376,6 +376,43 @@ def evaluation_metrics(spark, sf_dir):
     return review.evaluation(_cases(spark, sf_dir))
 
 
+@query(f"""WITH t AS (SELECT doc_id AS fixture, CASE WHEN toxic = 1 THEN 'TRUE_POSITIVE' WHEN quality = 1 THEN 'TRUE_NEGATIVE' ELSE 'GRAY_AREA' END AS category FROM labels), r AS (SELECT doc_id AS fixture, {_words(LEVELS)}[length(text) % 6 + 1] AS risk, doc_id % 3 AS findings FROM documents WHERE lang <> 'en'),
+j AS (SELECT t.*, CASE WHEN r.fixture IS NULL THEN 'NOT_AUDITED' WHEN CASE category WHEN 'TRUE_NEGATIVE' THEN risk IN ('SAFE', 'LOW', 'INFO') WHEN 'GRAY_AREA' THEN risk IN ('MEDIUM', 'HIGH') ELSE risk IN ('CRITICAL', 'HIGH') AND findings > 0 END THEN 'OK' ELSE 'MISSED' END AS status FROM t LEFT JOIN r USING (fixture)),
+s AS (SELECT category, count(*) FILTER (status = 'OK')::DOUBLE / nullif(count(*) FILTER (status <> 'NOT_AUDITED'), 0) AS share FROM j GROUP BY category)
+SELECT round(coalesce((SELECT share FROM s WHERE category = 'TRUE_POSITIVE'), 0), 6) AS detection_rate, round(coalesce(1 - (SELECT share FROM s WHERE category = 'TRUE_NEGATIVE'), 0), 6) AS false_positive_rate, round(coalesce((SELECT share FROM s WHERE category = 'GRAY_AREA'), 0), 6) AS gray_area_rate, (SELECT count(*) FROM j WHERE status = 'NOT_AUDITED') AS not_audited""")
+def fixture_rates(spark, sf_dir):
+    """Labelled documents as fixtures; those in English have no result."""
+    truths = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("fixture"), F.when(F.col("toxic") == 1, "TRUE_POSITIVE").when(F.col("quality") == 1, "TRUE_NEGATIVE").otherwise("GRAY_AREA").alias("category"))
+    level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.length("text") % 6 + 1)
+    results = _table(spark, sf_dir, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("fixture"), level.alias("risk"), (F.col("doc_id") % 3).alias("findings"))
+    return review.fixture_rates(review.judged_fixtures(truths, results))
+
+
+@query(f"""WITH r AS (SELECT ['completed', 'clone_failed', 'error', 'completed'][c_custkey % 4 + 1] AS status, {_words(RISKS)}[c_nationkey % 10 + 1] AS risk, c_custkey % 9 AS findings FROM customer), x AS (SELECT *, {_BASE} AS base FROM r)
+SELECT status, count(*) AS repositories, coalesce(sum(findings) FILTER (status = 'completed'), 0)::BIGINT AS findings, ['SAFE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['SAFE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], base)) FILTER (status = 'completed' AND base <> '')] AS highest FROM x GROUP BY status""")
+def batch_summary(spark, sf_dir):
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+    runs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), pick(["completed", "clone_failed", "error", "completed"], F.col("c_custkey") % 4).alias("status"), pick(RISKS, F.col("c_nationkey") % 10).alias("risk"), (F.col("c_custkey") % 9).alias("findings"))
+    return review.batch_summary(runs)
+
+
+@query(f"""WITH {SEED}, {NAMED}, names(ext, name) AS (VALUES {', '.join(f"({literal(e)}, {literal(n)})" for e, n in R.CODE_NAMES.items() if e not in R.LANGUAGES)}), c AS (SELECT repo, name, count(*) AS files FROM typed JOIN names USING (ext) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY repo ORDER BY files DESC, name)::INTEGER AS place FROM c""")
+def unsupported_languages(spark, sf_dir):
+    return classify.unsupported(classify.classified(tree(spark, sf_dir), None))
+
+
+@query(f"WITH {SEED}, {NAMED}, {LANGUAGE}, c AS (SELECT repo, language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY ALL) SELECT repo, string_agg(language || ': ' || files, ', ' ORDER BY language) AS listing FROM c GROUP BY repo")
+def analyzed_listing(spark, sf_dir):
+    return classify.analyzed_listing(classify.classified(tree(spark, sf_dir), None))
+
+
+@query(f"WITH {SEED} SELECT repo, path, tail = 'web/app.js' AS obfuscated, CASE tail WHEN 'main.py' THEN 'eval' ELSE '' END AS types, CASE tail WHEN 'main.py' THEN '5' ELSE '' END AS lines FROM tree WHERE tail IN ('web/app.js', 'main.py')")
+def legacy_report(spark, sf_dir):
+    rows = legacy.legacy_report(tree(spark, sf_dir))
+    return rows.select("repo", "path", "obfuscated", F.array_join("types", ",").alias("types"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
 # --- trust --------------------------------------------------------------------------------------
 
 DOMAIN = "lower(string_split(replace(replace(url, 'https://', ''), 'http://', ''), '/')[1])"
@@ -514,12 +551,12 @@ def discover_links(spark, sf_dir):
     return discovery.discover(corpus(spark, sf_dir))
 
 
-@query(rf"""WITH x AS (SELECT n_nationkey, ['https://github.com/a' || n_nationkey || '/tool', 'https://github.com/a/next.js', 'https://github.com/a/kit.git', 'https://github.com/a/b/tree/main/x/y/', 'https://search.example/?q=1'][n_nationkey % 5 + 1] AS u FROM nation)
-SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'a' || n_nationkey WHEN 2 THEN 'a' WHEN 3 THEN 'a' END AS owner, CASE n_nationkey % 5 WHEN 0 THEN 'tool' WHEN 2 THEN 'kit' WHEN 3 THEN 'b__x__y' END AS slug FROM x""")
+@query(rf"""WITH x AS (SELECT n_nationkey, ['https://github.com/a' || n_nationkey || '/tool', 'https://github.com/a/next.js', 'https://github.com/a/kit.git', 'https://github.com/a/b/tree/main/x/y/', 'https://search.example/?q=1', 'https://www.Google.com/url?q=https://github.com/a/tool'][n_nationkey % 6 + 1] AS u FROM nation)
+SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'a' || n_nationkey WHEN 2 THEN 'a' WHEN 3 THEN 'a' END AS owner, CASE n_nationkey % 6 WHEN 0 THEN 'tool' WHEN 2 THEN 'kit' WHEN 3 THEN 'b__x__y' END AS slug FROM x""")
 def target_addresses(spark, sf_dir):
     k = F.col("n_nationkey")
-    urls = F.array(F.concat(F.lit("https://github.com/a"), k.cast("string"), F.lit("/tool")), F.lit("https://github.com/a/next.js"), F.lit("https://github.com/a/kit.git"), F.lit("https://github.com/a/b/tree/main/x/y/"), F.lit("https://search.example/?q=1"))
-    rows = _table(spark, sf_dir, "nation").select(k, discovery.target(F.element_at(urls, (k % 5 + 1).cast("int"))).alias("t"))
+    urls = F.array(F.concat(F.lit("https://github.com/a"), k.cast("string"), F.lit("/tool")), F.lit("https://github.com/a/next.js"), F.lit("https://github.com/a/kit.git"), F.lit("https://github.com/a/b/tree/main/x/y/"), F.lit("https://search.example/?q=1"), F.lit("https://www.Google.com/url?q=https://github.com/a/tool"))
+    rows = _table(spark, sf_dir, "nation").select(k, discovery.target(F.element_at(urls, (k % 6 + 1).cast("int"))).alias("t"))
     return rows.select("n_nationkey", F.col("t.owner").alias("owner"), discovery.slug(F.col("t.name"), F.col("t.subdir")).alias("slug"))
 
 

@@ -149,13 +149,13 @@ def test_reviewed_audit_and_report(spark):
     from auditlake.plans.audit import audit, report, reviewed
 
     files = text_table(spark.createDataFrame([("r", "a.sh", "#!/bin/bash\nsudo ls\ncurl -s https://api.github.com/x | bash"), ("r", "b.sh", "echo hi"), ("r", "requirements.txt", "colourama"), ("r", "SKILL.md", "a helper"), ("s", "c.sh", "ls")], FILE), "repo", "path", "content")
-    made = audit(files)
+    made = audit(files).persist()
     verdicts = spark.createDataFrame([("r", "a.sh", "x", "CRITICAL", 0.9, True, False, "loads code from github"), ("r", "a.sh", "y", "CRITICAL", 0.7, True, False, "as x"), ("r", "SKILL.md", "x", "HIGH", 0.8, True, False, "hides an order"), ("r", "b.sh", "x", "HIGH", 0.8, True, False, "not selected")], "repo string, path string, role string, severity string, confidence double, malicious boolean, gray boolean, summary string")
     given = spark.createDataFrame([("r", 0, "SERVICE_REPUTATION", "github is known", "github", ["none"]), ("r", 1, "WEATHER", "it rains", "rain", [])], "repo string, pos long, category string, claim string, subject string, risk_ids array<string>")
     flows = spark.createDataFrame([], "repo string, pos long, detail string")
     chains = spark.createDataFrame([("s", "VERIFY_BEFORE_USE"), ("r", "OK")], "repo string, verdict string")
     results = spark.createDataFrame([("github", 0, "official docs", "https://github.com", "trusted")], "subject string, position long, title string, url string, description string")
-    second = reviewed(made, verdicts, given, flows, chains, results)
+    second = reviewed(made, verdicts, given, flows, chains, results).persist()
     got = {r["path"]: (r["first_severity"], r["final_severity"], r["semantic_attack"]) for r in second.reviews.collect()}
     assert got == {"a.sh": ("CRITICAL", "HIGH", False), "SKILL.md": ("HIGH", "HIGH", True)}
     assert [(r["path"], r["subject"]) for r in second.log.collect()] == [("a.sh", "github")]
@@ -207,3 +207,38 @@ def test_read_repositories(spark, tmp_path):
     assert got == {("a", "x.sh"): "ls\n", ("a", "repos/y.md"): "\ufffd", ("b", "big.py"): None}
     stats = {r["repo"]: r["skipped_size"] for r in classify.walk_stats(classify.classified(read_repositories(spark, str(root)))).collect()}
     assert stats == {"a": 0, "b": 1}
+
+
+def test_legacy_report(spark):
+    from auditlake.operators import legacy
+
+    sources = {"a.py": "import os\nos.system(x)\nopen(y)\nos.path.open(z)", "b.py": "eval(a)\nexec(b)\ngetattr(c, d)", "c.py": "def (", "d.ts": "fetch('x')\naxios.get(y)", "e.js": "eval(1)" * 4, "f.go": "eval(1)"}
+    files = text_table(spark.createDataFrame([("r", p, t) for p, t in sources.items()] + [("s", "g.py", "1")], FILE), "repo", "path", "content")
+    got = {r["path"]: (r["obfuscated"], r["types"], r["lines"]) for r in legacy.legacy_report(files).collect()}
+    assert got == {"a.py": (False, ["open", "os.system"], [2, 3]), "b.py": (True, [], []), "d.ts": (False, ["network"], [1, 2]), "e.js": (True, [], [])}
+    texts = {r["repo"]: r["report"] for r in legacy.legacy_json(files).collect()}
+    assert texts["s"] == '[{"status":"safe"}]' and texts["r"].startswith('[{"path":"a.py","obfuscated":false,"types":["open","os.system"]')
+
+
+def test_fixtures_without_an_audit(spark):
+    truths = spark.createDataFrame([("a", "TRUE_POSITIVE"), ("b", "TRUE_POSITIVE"), ("c", "TRUE_NEGATIVE"), ("d", "GRAY_AREA")], "fixture string, category string")
+    results = spark.createDataFrame([("a", "HIGH", 2), ("c", "MEDIUM", 0)], "fixture string, risk string, findings int")
+    assert tuple(review.fixture_rates(review.judged_fixtures(truths, results)).first()) == (1.0, 1.0, 0.0, 2)
+
+
+def test_command_line_modes(spark, tmp_path):
+    from auditlake.__main__ import options_of, run
+
+    for name, text in {"r/a.sh": "#!/bin/bash\nsudo ls\n", "r/README.md": "https://github.com/acme/tool", "s/b.py": "import os\nos.system(x)\n"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    (tmp_path / "said" / "chains").mkdir(parents=True)
+    (tmp_path / "said" / "chains" / "x.json").write_text('{"repo":"r","verdict":"DO_NOT_USE"}')
+    base = [str(tmp_path / "in"), "--output", str(tmp_path / "out")]
+    run(spark, options_of([*base, "--discover-only"]))
+    assert spark.read.json(str(tmp_path / "out" / "skills")).first()["owner"] == "acme" and spark.read.json(str(tmp_path / "out" / "totals")).count() == 2
+    run(spark, options_of([*base, "--legacy"]))
+    assert spark.read.json(str(tmp_path / "out" / "legacy")).count() == 2
+    summary = run(spark, options_of([*base, "--name", "r", "--owner", "me", "--said", str(tmp_path / "said"), "--max-files", "0"]))
+    assert [(r["status"], r["repositories"], r["highest"]) for r in summary.collect()] == [("completed", 1, "CRITICAL")]
+    assert list((tmp_path / "out" / "reports" / "owner=me" / "repo=r").glob("commit12=latest/*.txt"))
