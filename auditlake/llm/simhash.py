@@ -299,6 +299,8 @@ SAMPLE = 16
 COMPARE = 2048
 #: Distinct shingles up to which a text's candidates come from its shingles themselves.
 FEW = 64
+#: The most frequent shingles of such texts, each in more than COMMON, that candidates come from last.
+FREQUENT, COMMON = 1 << 14, 16
 #: Texts whose shingles are held at once.
 ROWS = 512
 #: Slack for products of the similarity with whole numbers.
@@ -312,22 +314,57 @@ def similarity_radius(similarity: float, words: int, spread: float = 0) -> int:
 
 
 def _sets(width: int, similarity: float):
-    """Per text: a number of its shingle set, the long fingerprint, and for few shingles the least ones, of which similar sets share one."""
+    """Per text: a number of its shingle set, the long fingerprint, and the shingles if they are few."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            nodes, prints, least = [], [], []
+            nodes, prints, few = [], [], []
             for text in batch.column(2).to_pylist():
                 own = np.unique(shingle_hashes(text, width))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 prints.append(long_simhash(own, LONG).astype(">u8").tobytes() if len(own) else bytes(8 * LONG))
-                least.append(own[: len(own) - math.ceil(similarity * len(own) - SLACK) + 1].view(np.int64).tolist() if len(own) * similarity <= FEW else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["id", "own", "node", "print", "least"])
+                few.append(own.view(np.int64).tolist() if len(own) * similarity <= FEW else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["id", "own", "node", "print", "few"])
         tidy()
 
     return scan
 
 
+def _least(similarity: float, frequent: list[int]):
+    """(node, shingle) of the least shingles of each set, of which similar sets share one; frequent ones, the most frequent first, are the greatest."""
+    known = np.array(frequent, np.int64)
+    sort = np.argsort(known)
+    known, rank = np.r_[known[sort], 0], np.r_[len(known) - sort, 0]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1)
+            value, size = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+            at = np.searchsorted(known[:-1], value)
+            order = np.lexsort((value, np.where(known[at] == value, rank[at], 0), row := np.repeat(np.arange(len(size)), size)))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            least = place < (size - np.ceil(similarity * size - SLACK) + 1)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[least])), pa.array(value[order][least])], names=["node", "shingle"])
+
+    return scan
+
+
+def shared_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes(node long, few array<long>), sets of distinct numbers: two of that Jaccard similarity are in one component.
+
+    Sets meet if they share one of their least numbers, as any two that are
+    similar enough do, whatever the order.  The order puts rare numbers first, so
+    a passage that many texts quote brings only those together of which it is
+    nearly all.  Runs actions.
+    """
+    sets = nodes.where(F.size("few") > 0).select("node", "few")
+    often = sets.select(F.explode("few").alias("shingle")).groupBy("shingle").count().where(F.col("count") > COMMON)
+    frequent = [r["shingle"] for r in often.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").collect()]
+    entries = durable(sets.mapInArrow(_least(similarity, frequent), "node long, shingle long"))
+    first = entries.groupBy("shingle").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return entries.join(first, "shingle").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+
+
 def _shingles_of(marked: bytes, width: int):
     """The distinct shingles of the texts that are marked."""
 
@@ -423,14 +460,11 @@ def _near_rows(docs: DataFrame, width: int, similarity: float, id_col: str, text
     """(id, own, root) of every row of docs: own is a hash of its text, rows of one near-duplicate group share the root."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).cast("binary").alias("text"))
-    sets = durable(rows.mapInArrow(_sets(width, similarity), f"id {kind}, own long, node long, print binary, least array<long>"))
-    nodes = durable(sets.groupBy("node").agg(F.first("print").alias("print"), F.first("least").alias("least"), F.min(F.struct("own", "id")).alias("text")))
+    sets = durable(rows.mapInArrow(_sets(width, similarity), f"id {kind}, own long, node long, print binary, few array<long>"))
+    nodes = durable(sets.groupBy("node").agg(F.first("print").alias("print"), F.first("few").alias("few"), F.min(F.struct("own", "id")).alias("text")))
     bands = [(i, i ^ m) for m in TWISTS for i in range(8 * LONG) if i < i ^ m]
     links = hamming_links(nodes.select("node", "print"), similarity_radius(similarity, COMPARED, SPREAD), COMPARED, bands, SAMPLE)
-    entries = nodes.select("node", F.explode("least").alias("shingle"))
-    first = entries.groupBy("shingle").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    links = links.union(entries.join(first, "shingle").where("node <> first").select("node", "first"))
-    coarse = components(links)
+    coarse = components(links.union(shared_links(nodes, similarity)))
     members = coarse.union(coarse.select("component", "component").distinct())
     roots = components(_verified(rows, nodes, members, width, similarity))
     return sets.select("id", "own", "node").join(roots, "node", "left").select("id", "own", F.coalesce("component", "node").alias("root"))
@@ -443,7 +477,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     differing share of bits is the angle between the sets: a pair meets if one of
     96 bands agrees and is searched SPREAD standard deviations beyond the
     expected distance.  Texts of at most FEW shingles meet, without any loss, all
-    texts that share one of their least shingles.  The shingles of candidates
+    texts that share one of their least shingles, rare ones first.  The shingles of candidates
     are then compared themselves, so no pair below the similarity links.
     component_id is the smallest id of a group (nulls aside; null where all are).
     Null and empty texts have no shingle and are one group; repeated rows are in
