@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, in_map, key_map, settle, table, tidy
-from .components import components
+from .components import components, merge
 
 SEED = 42
 #: Children of an index node.
 FANOUT = 8
 #: Fingerprints of a band value that one task may hold; larger ones are dealt to pairs of blocks.
 BLOCK = 4096
+#: Band values or groups to be cut that are sent to every task; more of them are joined by a shuffle.
+HOT = 1 << 16
 #: Fingerprints from which the band values of sixteen bits would hold too many; then three of these six parts
 #: (first byte, bytes) of a fingerprint make a band, as three bits leave three of them unchanged.
 WIDE = 1 << 26
@@ -196,44 +198,97 @@ class GrayIndex:
 
 
 def _join(labels: np.ndarray, found: list) -> np.ndarray:
-    if not found:
-        return labels
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    while len(a):
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while (labels != (up := labels[labels])).any():
-            labels = up
-    return labels
+    return merge(labels, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else labels
+
+
+def _near(group: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Links (u, v) between the nodes of each group."""
+    _, where, size = np.unique(group, return_inverse=True, return_counts=True)
+    many = size[where] > 1
+    group, prints, node = group[many], prints[many], node[many]
+    near = GrayIndex(group, prints).links(radius) if len(group) else np.empty(0, np.int64)
+    moved = np.flatnonzero(near != np.arange(len(near)))
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[near[moved]])], names=["u", "v"])
+
+
+def _read(batches: Iterator[pa.RecordBatch], words: int) -> list[np.ndarray]:
+    """The columns of numbers and, last, the prints of all rows (a print is the last column)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return []
+    last = parts[0].num_columns - 1
+    numbers = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in range(last)]
+    return [*numbers, np.frombuffer(b"".join(x for b in parts for x in b.column(last).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)]
 
 
 def _link(radius: int, words: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        group, node = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in (0, 2))
-        prints = np.frombuffer(b"".join(x for b in parts for x in b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
-        _, where, size = np.unique(group, return_inverse=True, return_counts=True)
-        many = size[where] > 1
-        group, prints, node = group[many], prints[many], node[many]
-        if not len(group):
-            return
-        near = GrayIndex(group, prints).links(radius)
-        moved = np.flatnonzero(near != np.arange(len(near)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[near[moved]])], names=["u", "v"])
-        del parts, group, prints, node, near
-        tidy()
+        if found := _read(batches, words):
+            group, node, prints = found
+            yield _near(group, prints, node, radius)
+            del group, node, prints, found
+            tidy()
 
     return link
 
 
-def _cut(entries: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
-    """entries with a group for each task: its key, or for keys of hot(key, blocks) each pair of blocks that it is in."""
+def _leaders(bands: list[tuple[int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """By leading byte the (number, other byte) of bands (a, b); a byte with an even number of bits leads.
+
+    Bytes whose numbers differ in one bit, as those of TWISTS, have one leader in each band.
+    """
+    out = {}
+    for i, (a, b) in enumerate(bands):
+        lead, other = (b, a) if a.bit_count() % 2 else (a, b)
+        out.setdefault(lead, []).append((i, other))
+    return out
+
+
+def _pack(bands: list[tuple[int, int]], words: int, hot: list[int]):
+    """A row for each leading byte of a print, for all bands that it leads but hot ones: others has their other bytes, and from bit 48 which they are."""
+    leaders, hot = _leaders(bands), np.array(hot, np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, whole = batch.column(0), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            prints, whole = pa.array([x.tobytes() for x in whole[:, : 8 * words]], pa.binary()), whole.astype(np.int64)
+            for lead, members in leaders.items():
+                others = np.zeros(len(whole), np.int64)
+                for k, (i, other) in enumerate(members):
+                    a, b = bands[i]
+                    others |= whole[:, other] << 8 * k | ~np.isin(i << 16 | whole[:, a] << 8 | whole[:, b], hot) * np.int64(1 << 48 + k)
+                kept = pa.array(others >> 48 > 0)
+                made = pa.RecordBatch.from_arrays([pa.array(lead << 8 | whole[:, lead]), pa.array(others), node, prints], names=["group", "others", "node", "print"])
+                yield made.filter(kept)
+
+    return pack
+
+
+def _link_packed(radius: int, words: int, most: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := _read(batches, words):
+            group, others, node, prints = found
+            for k in range(most):
+                own = others >> 48 + k & 1 > 0
+                yield _near((group << 8 | others >> 8 * k & 255)[own], prints[own], node[own], radius)
+            del group, others, node, prints, found
+            tidy()
+
+    return link
+
+
+def _cut(entries: DataFrame, key: str, hot: DataFrame, salt: str, how: str = "left") -> DataFrame:
+    """entries with a group for each task: its key, or for keys of hot(key, blocks) each pair of blocks that it is in.
+
+    hot is a checkpoint; up to HOT such keys go to every task, entries are
+    shuffled by key for more only.  An inner join leaves the hot entries.  Runs actions.
+    """
+    if hot.count() <= HOT:
+        hot = F.broadcast(hot)
     own = F.pmod(F.xxhash64(salt), F.col("blocks"))
-    dealt = entries.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = entries.join(hot, key, how).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumn("group", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
 
 
@@ -247,10 +302,11 @@ def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[i
     come out: per band value and task a spanning set of them.  A band value with
     more than BLOCK prints is cut into blocks by a hash, and each pair of blocks
     is searched apart, so no task holds more than two blocks of a value; the
-    prints of a value are counted on one in sample of the nodes.
+    prints of a value are counted on one in sample of the nodes.  Named bands that
+    share a byte travel in one row, up to HOT values that are cut aside.  Runs actions.
     """
     if bands:
-        fields = [F.xxhash64(F.lit(i), F.substring("print", a + 1, 1), F.substring("print", b + 1, 1)) for i, (a, b) in enumerate(bands)]
+        fields = [F.concat(F.lit(bytes([i])), F.substring("print", a + 1, 1), F.substring("print", b + 1, 1)) for i, (a, b) in enumerate(bands)]
     elif wide:
         fields = [F.xxhash64(F.lit(i), *[F.substring("print", a + 1, n) for a, n in three]) for i, three in enumerate(itertools.combinations(PARTS, 3))]
     else:
@@ -260,7 +316,18 @@ def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[i
     counted = nodes.where(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(sample)) == 0) if sample > 1 else nodes
     size = F.col("count") * sample
     hot = counted.select(F.explode(F.array(*fields)).alias("band")).groupBy("band").count().where(size > BLOCK).select("band", F.ceil(size / BLOCK).alias("blocks"))
-    return _cut(entries, "band", hot, "print").select("group", "print", "node").repartition("group").mapInArrow(_link(radius, words), "u long, v long")
+    hot = durable(hot)
+    number = hot.count() if bands else 0
+
+    def cut(how: str) -> DataFrame:
+        return _cut(entries, "band", hot, "print", how).select("group", "node", "print").repartition("group").mapInArrow(_link(radius, words), "u long, v long")
+
+    if not bands or number > HOT:
+        return cut("left")
+    most = max(map(len, _leaders(bands).values()))
+    packed = nodes.select("node", "print").mapInArrow(_pack(bands, words, [int.from_bytes(r["band"], "big") for r in hot.collect()]), "group long, others long, node long, print binary")
+    links = packed.repartition("group").mapInArrow(_link_packed(radius, words, most), "u long, v long")
+    return links.union(cut("inner")) if number else links
 
 
 def _components(prints: DataFrame, radius: int, words: int) -> DataFrame:
@@ -453,6 +520,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, members: DataFrame, width: int,
     a, b = rows.mapInArrow(_shingles_of(marked, width), f"id {kind}, own long, shingles binary").alias("a"), chosen.alias("b")
     known = a.join(b, (F.col("a.own") == F.col("b.own")) & F.col("a.id").eqNullSafe(F.col("b.id"))).select("component", "node", "shingles")
     hot = chosen.groupBy("component").count().where(F.col("count") > COMPARE).select("component", F.ceil(F.col("count") / COMPARE).alias("blocks"))
+    hot = durable(hot)
     return _cut(known, "component", hot, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "u long, v long")
 
 
