@@ -20,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: A table that is small beside the documents is checkpointed in one file for so many shuffle partitions.
+FEWER = 8
+
+
+def durable(df: DataFrame, small: bool = False) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint (an action).
 
     The files go to the folder that ``spark.checkpoint.dir`` names, which every
@@ -28,7 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     lack that setting; it gets a temporary folder.  A checkpoint's files go when
     the driver no longer refers to it, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
     is set; they may go with the folder once a job's result is written.
+    Where Hadoop lacks its native library, each file makes the executor start two
+    processes (chmod), which share all its memory until they run their program; so
+    a small table is dealt to fewer files, still in proportion to the partitions.
     """
+    if small:
+        df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FEWER))
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -50,7 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     each round is checkpointed.  Self links and repeated links are harmless.
     """
     u, v = F.col("u"), F.col("v")
-    now = durable(edges.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    now = durable(edges.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), small=True)
     seen = _signature(now)
     for _ in range(max_rounds):
         if seen[0] <= SMALL:
@@ -60,7 +60,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        now = durable(small.distinct())
+        now = durable(small.distinct(), small=True)
         last, seen = seen, _signature(now)
         if seen == last:
             break

@@ -194,7 +194,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a, b = keyed.alias("a"), groups.alias("b")
     same = (F.col("a.print") == F.col("b.print")) & (F.col("a.length") == F.col("b.length")) & (F.coalesce(F.col("a.part"), F.lit("")) == F.coalesce(F.col("b.part"), F.lit("")))
     stays = F.col("a.id").eqNullSafe(F.col("b.best.id")) & (F.col("a.own") == F.col("b.best.own"))
-    decided = durable(a.join(b, same).select("a.id", "a.own", stays.alias("stays")).distinct())
+    decided = durable(a.join(b, same).select("a.id", "a.own", stays.alias("stays")).distinct(), small=True)
     return settle(docs, id_col, text_col, decided)
 
 

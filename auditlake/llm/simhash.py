@@ -316,7 +316,7 @@ def hamming_links(nodes: DataFrame, radius: int, words: int, bands: list[tuple[i
     counted = nodes.where(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(sample)) == 0) if sample > 1 else nodes
     size = F.col("count") * sample
     hot = counted.select(F.explode(F.array(*fields)).alias("band")).groupBy("band").count().where(size > BLOCK).select("band", F.ceil(size / BLOCK).alias("blocks"))
-    hot = durable(hot)
+    hot = durable(hot, small=True)
     number = hot.count() if bands else 0
 
     def cut(how: str) -> DataFrame:
@@ -514,13 +514,13 @@ def _verified(rows: DataFrame, nodes: DataFrame, members: DataFrame, width: int,
 
     A component of more than COMPARE nodes is cut into blocks, whose pairs are dealt to tasks.
     """
-    chosen = durable(nodes.join(members, "node").select("component", "node", "text.own", "text.id"))
+    chosen = durable(nodes.join(members, "node").select("component", "node", "text.own", "text.id"), small=True)
     marked = key_map(chosen.select("own"))
     kind = rows.schema["id"].dataType.simpleString()
     a, b = rows.mapInArrow(_shingles_of(marked, width), f"id {kind}, own long, shingles binary").alias("a"), chosen.alias("b")
     known = a.join(b, (F.col("a.own") == F.col("b.own")) & F.col("a.id").eqNullSafe(F.col("b.id"))).select("component", "node", "shingles")
     hot = chosen.groupBy("component").count().where(F.col("count") > COMPARE).select("component", F.ceil(F.col("count") / COMPARE).alias("blocks"))
-    hot = durable(hot)
+    hot = durable(hot, small=True)
     return _cut(known, "component", hot, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "u long, v long")
 
 
@@ -568,7 +568,7 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     found = _near_rows(docs, width, similarity, id_col, text_col)
     best = found.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("best")).where("n > 1")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("own") == F.col("best.own"))
-    decided = durable(found.join(best, F.col("root") == F.col("of")).select("id", "own", stays.alias("stays")).distinct())
+    decided = durable(found.join(best, F.col("root") == F.col("of")).select("id", "own", stays.alias("stays")).distinct(), small=True)
     return settle(docs, id_col, text_col, decided)
 
 

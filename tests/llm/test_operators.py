@@ -637,3 +637,31 @@ def test_wide_bands_miss_no_link(spark):
     near = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
     found = [tuple(r) for r in simhash.hamming_links(nodes, 3, 1, wide=True).collect()]
     assert reach(len(prints), found) == reach(len(prints), near)
+
+
+def test_tables_of_groups_are_checkpointed_in_few_files(spark, monkeypatch):
+    parts, keep = [], common.durable
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[: 199 - i], "x", *words[200 - i :]]) for i in range(4)]
+    frame = docs(spark, [(i, t, "en", "a") for i, t in enumerate([*near, near[0], "one two three", "one  two three"])])
+
+    def counted(df, *args, **named):
+        out = keep(df, *args, **named)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    for module in (components, exact, simhash):
+        monkeypatch.setattr(module, "durable", counted)
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert sorted(r["doc_id"] for r in exact.exact_dedup(frame).collect()) == [0, 1, 2, 3, 6]
+        assert max(parts) < 32
+        parts.clear()
+        assert sorted(r["doc_id"] for r in simhash.near_dedup(frame).collect()) == [0, 5]
+        assert sum(n >= 32 for n in parts) <= 2, parts  # one row a text, and the least shingles of short ones
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
