@@ -28,14 +28,14 @@ def language(path: Column, filename: Column, ext: Column, content: Column) -> Co
     return F.when(filename.isin(R.PACKAGE_FILES), "dependency").when((ext == ".md") & is_prompt(path, filename, content), "skill_prompt").when(by_ext.isNotNull(), by_ext).when((ext == "(no ext)") & has_shell_shebang(content), "shell")
 
 
-def within_limits(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
-    """Mark each file as over_cap (beyond max_files of its repository, by path; none without max_files) or too_large.
+def within_limits(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Mark each file as over_cap (beyond max_files of its repository, by path) or too_large (beyond max_bytes); none where a limit is None.
 
     Only paths are ranked: the last path within the cap of each repository that
     has more files is found first, and contents are compared with it where they
     are.  Files that share that path count alike.
     """
-    marked = files.withColumn("too_large", F.col("size_bytes") > MAX_BYTES)
+    marked = files.withColumn("too_large", F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes)
     if max_files is None:
         return marked.withColumn("over_cap", F.lit(False))
     place = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
@@ -45,10 +45,10 @@ def within_limits(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFr
     return joined.withColumn("over_cap", F.coalesce(F.col("path") > F.col("__last"), F.lit(False))).drop("__repo", "__last", "__size")
 
 
-def classified(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
+def classified(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """files with their language; files beyond the limits have none."""
     known = language(F.col("path"), F.col("filename"), F.col("ext"), F.col("content"))
-    return within_limits(files, max_files).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))
+    return within_limits(files, max_files, max_bytes).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))
 
 
 def walk_stats(files: DataFrame) -> DataFrame:

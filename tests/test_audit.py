@@ -144,6 +144,26 @@ def test_audit_queries_have_no_file_cap(spark, tmp_path):
     assert len(QUERIES["audit_report"](spark, str(tmp_path)).collect()) == len(got)
 
 
+def _one_source(spark, folder, n=1480):
+    """n documents of one source, 40 for each snippet."""
+    spark.createDataFrame([(i, "echo hello", "en", "a", 10) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_analyzed_counts_have_no_cap(spark, tmp_path):
+    """Every file counts by its analyzer, and none is too large."""
+    from auditlake.operators import classify
+    from auditlake.queries import QUERIES
+
+    folder = _one_source(spark, tmp_path)
+    got = {r["language"]: r["files"] for r in QUERIES["analyzed_counts"](spark, folder).collect()}
+    assert got == {"dependency": 80, "javascript": 40, "python": 80, "shell": 120, "skill_prompt": 40, "tool_config": 40}
+    row = QUERIES["coverage"](spark, folder).first()
+    assert (row["code_files_analyzed"], row["prompts"]) == (320, 40)
+    large = text_table(spark.createDataFrame([("r", "a.py", "#" * 600_000)], FILE), "repo", "path", "content")
+    assert classify.language_counts(classify.classified(large, None, None)).count() == 1
+
+
 def test_reviewed_audit_and_report(spark):
     """Selection, consensus, verification, downgrade and override in one plan, and the report on it."""
     from auditlake.plans.audit import audit, report, reviewed
