@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..sources.files import MAX_BYTES, MAX_FILES
+from ..sources.files import MAX_BYTES
 
 
 def is_prompt(path: Column, filename: Column, content: Column) -> Column:
@@ -28,7 +28,7 @@ def language(path: Column, filename: Column, ext: Column, content: Column) -> Co
     return F.when(filename.isin(R.PACKAGE_FILES), "dependency").when((ext == ".md") & is_prompt(path, filename, content), "skill_prompt").when(by_ext.isNotNull(), by_ext).when((ext == "(no ext)") & has_shell_shebang(content), "shell")
 
 
-def within_limits(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+def within_limits(files: DataFrame, max_files: int | None = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """Mark each file as over_cap (beyond max_files of its repository, by path) or too_large (beyond max_bytes); none where a limit is None.
 
     Only paths are ranked: the last path within the cap of each repository that
@@ -45,7 +45,7 @@ def within_limits(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes
     return joined.withColumn("over_cap", F.coalesce(F.col("path") > F.col("__last"), F.lit(False))).drop("__repo", "__last", "__size")
 
 
-def classified(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+def classified(files: DataFrame, max_files: int | None = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """files with their language; files beyond the limits have none."""
     known = language(F.col("path"), F.col("filename"), F.col("ext"), F.col("content"))
     return within_limits(files, max_files, max_bytes).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))

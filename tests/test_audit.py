@@ -171,6 +171,17 @@ def test_file_type_counts_have_no_cap(spark, tmp_path):
     assert sum(got.values()) == 1480 and got[".sh"] == 80 and got[".go"] == 40
 
 
+def test_top_file_types_have_no_cap(spark, tmp_path):
+    from auditlake.operators import classify
+    from auditlake.queries import QUERIES
+    from auditlake.sources.seeded import tree
+
+    folder = _one_source(spark, tmp_path)
+    got = [(r["ext"], r["files"], r["place"]) for r in QUERIES["top_file_types"](spark, folder).orderBy("place").collect()]
+    assert got == [(".txt", 1000, 1), (".md", 120, 2), (".json", 80, 3)]
+    assert classify.classified(tree(spark, folder)).where("over_cap").count() == 0
+
+
 def test_reviewed_audit_and_report(spark):
     """Selection, consensus, verification, downgrade and override in one plan, and the report on it."""
     from auditlake.plans.audit import audit, report, reviewed
