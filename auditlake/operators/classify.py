@@ -51,10 +51,19 @@ def classified(files: DataFrame, max_files: int | None = None, max_bytes: int |
     return within_limits(files, max_files, max_bytes).withColumn("language", F.when(~F.col("over_cap") & ~F.col("too_large"), known))
 
 
+def _tallied(files: DataFrame) -> DataFrame:
+    """Number of files of each kind; what is told of a walk is summed from these, so files are read once for all of it."""
+    return files.groupBy("repo", "ext", "language", "over_cap", "too_large").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _files_if(test: Column) -> Column:
+    return F.sum(F.when(test, F.col("files")).otherwise(0))
+
+
 def walk_stats(files: DataFrame) -> DataFrame:
     """Counters of a walk, by repository, of classified files."""
-    one = F.count_if
-    return files.groupBy("repo").agg(one(~F.col("over_cap")).alias("files_walked"), one(F.col("language").isNotNull()).alias("files_analyzed"), one(~F.col("over_cap") & F.col("too_large")).alias("skipped_size"), one(F.col("over_cap") | (~F.col("too_large") & F.col("language").isNull())).alias("skipped_type"), one(F.col("over_cap")).alias("over_cap"))
+    n, over, large, known = _files_if, F.col("over_cap"), F.col("too_large"), F.col("language").isNotNull()
+    return _tallied(files).groupBy("repo").agg(n(~over).alias("files_walked"), n(known).alias("files_analyzed"), n(~over & large).alias("skipped_size"), n(over | (~large & ~known)).alias("skipped_type"), n(over).alias("over_cap"))
 
 
 def type_counts(files: DataFrame) -> DataFrame:
@@ -70,19 +79,23 @@ def coverage(files: DataFrame) -> DataFrame:
 
     The main language has the most files; ties go to the name first in order.
     """
-    spark = files.sparkSession
-    names = spark.createDataFrame([(e, n, e in R.LANGUAGES, e in R.CODE_NAMES) for e, n in {**R.CODE_NAMES, **R.TEXT_NAMES}.items()], "ext string, name string, supported boolean, code boolean")
-    kinds = type_counts(files).join(F.broadcast(names), "ext", "left")  # as many rows as the literal tables
-    sums = kinds.groupBy("repo").agg(F.sum(F.when(F.col("supported"), F.col("files")).otherwise(0)).alias("supported"), F.sum(F.when(F.col("code") & ~F.col("supported"), F.col("files")).otherwise(0)).alias("unsupported"), F.sum(F.when(F.col("ext") == ".md", F.col("files")).otherwise(0)).alias("md"))
-    analyzed = files.groupBy("repo").agg(F.count_if(F.col("language") == "skill_prompt").alias("prompts"), F.count_if(F.col("language").isNotNull() & (F.col("language") != "dependency")).alias("analyzed"))
-    by_name = kinds.where("name is not null").groupBy("repo", "name").agg(F.sum("files").alias("n"), F.bool_or(F.col("supported") | ~F.col("code")).alias("known"))
-    by_name = by_name.unionByName(analyzed.where("prompts > 0").select("repo", F.lit("Skill Prompt (MD)").alias("name"), F.col("prompts").alias("n"), F.lit(True).alias("known")))
-    main = by_name.groupBy("repo").agg(F.min(F.struct((-F.col("n")).alias("n"), "name", "known")).alias("m")).select("repo", F.col("m.name").alias("dominant"), F.col("m.known").alias("dominant_supported"))
+    names = {**R.CODE_NAMES, **R.TEXT_NAMES}
+    walked, ext, lang = ~F.col("over_cap"), F.col("ext"), F.col("language")
+    n = lambda exts: _files_if(walked & ext.isin(list(exts)))
+    parts = {"supported": n(e for e in names if e in R.LANGUAGES), "unsupported": n(e for e in R.CODE_NAMES if e not in R.LANGUAGES), "md": n([".md"]), "prompts": _files_if(lang == "skill_prompt"), "analyzed": _files_if(lang.isNotNull() & (lang != "dependency"))}
+    mains = [F.struct((-F.col("prompts")).alias("n"), F.lit("Skill Prompt (MD)").alias("name"), F.lit(True).alias("known"))]
+    for i, name in enumerate(sorted(set(names.values()))):
+        own = [e for e in names if names[e] == name]
+        parts |= {f"n{i}": n(own), f"k{i}": n(e for e in own if e in R.LANGUAGES or e not in R.CODE_NAMES)}
+        mains.append(F.struct((-F.col(f"n{i}")).alias("n"), F.lit(name).alias("name"), (F.col(f"k{i}") > 0).alias("known")))
+    main = F.array_min(F.filter(F.array(*mains), lambda m: m["n"] < 0))
+    sums = _tallied(files).groupBy("repo").agg(*[v.alias(k) for k, v in parts.items()]).withColumn("m", main)
+    sums = sums.select("repo", "supported", "unsupported", "md", "prompts", "analyzed", F.col("m.name").alias("dominant"), F.col("m.known").alias("dominant_supported"))
     c = F.col
     based = (c("prompts") > 0) & ((c("prompts") >= c("analyzed") - c("prompts")) | (c("md") > c("supported")))
     total = c("supported") + c("unsupported")
     whole = F.when(based, c("prompts") + total).otherwise(total)
-    out = sums.join(analyzed, "repo").join(main, "repo", "left").withColumn("is_prompt_based", based).withColumn("code_files", total).withColumn("ratio", F.when(whole > 0, c("analyzed") / whole).otherwise(1.0))
+    out = sums.withColumn("is_prompt_based", based).withColumn("code_files", total).withColumn("ratio", F.when(whole > 0, c("analyzed") / whole).otherwise(1.0))
     return out.select("repo", "code_files", c("analyzed").alias("code_files_analyzed"), "prompts", "is_prompt_based", F.round("ratio", 6).alias("ratio"), F.coalesce("dominant", F.lit("N/A")).alias("dominant"), F.coalesce("dominant_supported", F.lit(True)).alias("dominant_supported"), ((c("code_files") > 5) & (c("ratio") < 0.5) & ~c("is_prompt_based")).alias("is_low_coverage"))
 
 

@@ -93,7 +93,7 @@ def prompt_findings(files: DataFrame) -> DataFrame:
         regex = f"(?dms){pattern}"
         before = F.split(F.col("content"), regex, 2)[0]
         tests.append(F.when(T.likely(F.col("content"), pattern, F.col("__low")) & F.col("content").rlike(regex), F.struct(F.lit(i).alias("rule"), F.lit(severity.upper()).alias("severity"), F.lit(name).alias("name"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))))
-    some = T.with_likely(files, [p for _, _, p in R.PROMPT_RULES]).withColumn("hits", F.filter(F.array(*tests), lambda x: x.isNotNull())).where(F.size("hits") > 0)
+    some = T.with_likely(files, [p for _, _, p in R.PROMPT_RULES]).withColumn("hits", F.filter(F.array(*tests), lambda x: x.isNotNull()))  # no test of their size: with the one that explode brings, all patterns would run on every file
     hits = some.withColumn("lines", T.lines(F.col("content"))).withColumn("hit", F.explode("hits")).select("*", "hit.*").drop("hit", "hits", "content", "__low")
     return _finding(hits, F.concat(F.lit("skill_prompt_"), "name"), T.rule_id("SK", F.col("severity"), F.col("line")), F.concat(F.lit("Skill Prompt: "), "name"), F.concat(F.lit("prompt rule "), "name"), 0.65, 3)
 

@@ -209,6 +209,26 @@ def test_reviewed_audit_and_report(spark):
     assert "more are in the table of findings" in plain["r"] and "No review took part" in plain["s"]
 
 
+def test_report_matches_files_once(spark, tmp_path):
+    """Counts and lists of a report share one pass over the findings, whose lists are cut and ordered over all shares of a repository."""
+    from auditlake.plans.audit import audit, report
+    from auditlake.queries import QUERIES
+
+    plan = QUERIES["audit_report"](spark, _one_source(spark, tmp_path, 40))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 16  # files are read for each analyzer, not again for each part of the report
+    pruned = matching.prompt_findings(text_table(spark.read.parquet(f"{tmp_path}/documents.parquet"), "source", "doc_id", "text")).select("repo", "severity")
+    assert pruned._jdf.queryExecution().optimizedPlan().toString().count("filter(array(CASE") <= 2
+    files = text_table(spark.createDataFrame([("r", f"{i:02}.sh", "sudo ls" if i % 2 else "chmod +x a") for i in range(40)] + [("r", "requirements.txt", "colourama"), ("s", "a.txt", "-")], FILE), "repo", "path", "content")
+    reviews = spark.createDataFrame([("r", "LOW", 0.8), ("s", "LOW", 0.8), ("s", "UNKNOWN", 0.1)], "repo string, final_severity string, final_confidence double")
+    made = audit(files, reviews)
+    got = {r["repo"]: r["report"] for r in report(made, limit=5).collect()}
+    assert [x for x in got["r"].split("\n") if "Shell:" in x] == [f"{n}. **HIGH** Shell: sudo_usage ({2 * n - 1:02}.sh:1)" for n in range(1, 6)]
+    assert "35 more are in the table" in got["r"] and "colourama is on the list" in got["r"] and "## Findings\n\nnone" in got["s"]
+    want = {r["repo"]: [r[s] for s in ("critical", "high", "medium", "low")] for r in made.repositories.collect()}
+    assert want == {"r": [1, 20, 20, 1], "s": [0, 0, 0, 1]}
+    assert all(f"| {s} | {n} |" in got[k] for k, v in want.items() for s, n in zip(("CRITICAL", "HIGH", "MEDIUM", "LOW"), v, strict=True))
+
+
 def test_evidence_of_assumptions(spark):
     rows = spark.createDataFrame([("API_ENDPOINT", "api.1inch.dev", "c"), ("API_ENDPOINT", "evil.1inch.xyz", "c"), ("API_ENDPOINT", "example.org", "c"), ("CONTRACT_ADDRESS", "0xAB", "Router of Acme"), (None, "x", None)], "category string, subject string, claim string")
     results = spark.createDataFrame([("0xAB", 0, "t", "https://etherscan.io/0xab", "d"), ("0xAB", 1, "0xab", "https://z.io", None), ("api.1inch.dev", 0, "about api.1inch.dev", "https://1inch.dev/x", "d")], "subject string, position long, title string, url string, description string")
